@@ -339,17 +339,18 @@ def repeated_runs(rows: DataFrame, min_bytes: int, keep: str, kgram: int, max_gr
     found = rows.select("did", "rid", "text").where(F.octet_length("text") >= min_bytes)
     found = found.mapInArrow(_anchors(min_bytes, kgram), ints).persist(StorageLevel.DISK_ONLY)
     place = F.struct("did", "rid", "lo")
-    kinds = found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    kinds = found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(place).alias("first")).persist(StorageLevel.DISK_ONLY)
     groups = kinds.groupBy("anchor").agg(F.count("*").alias("n_kinds"), F.sum("n").alias("total")).where("total > 1")
     kinds = kinds.join(groups, "anchor").select("anchor", "context", "n", "first", "n_kinds")
-    marked = found.join(kinds, ["anchor", "context"]).withColumn("is_first", F.col("first") == place)
+    # each of these feeds several branches; they hold repeated runs only
+    marked = found.join(kinds, ["anchor", "context"]).select("did", "rid", "anchor", "lo", "hi", "n", "n_kinds", (F.col("first") == place).alias("is_first")).persist(StorageLevel.DISK_ONLY)
     whole = marked.where((F.col("n") > 1) & (F.lit(keep == "none") | ~F.col("is_first"))).select("did", "rid", "lo", "hi")
     wanted = marked.where(F.col("is_first") & (F.col("n_kinds") > 1)).groupBy("did", "rid").agg(F.collect_list(F.struct("anchor", "lo", "hi", (F.col("n_kinds") > max_group).alias("large"))).alias("wanted"))
     contexts = rows.select("did", "rid", "text").join(wanted, ["did", "rid"])
-    contexts = contexts.mapInArrow(_contexts(min_bytes), "did long, rid long, anchor long, lo long, hi long, large boolean, bytes binary")
+    contexts = contexts.mapInArrow(_contexts(min_bytes), "did long, rid long, anchor long, lo long, hi long, large boolean, bytes binary").persist(StorageLevel.DISK_ONLY)
     small = contexts.where(~F.col("large")).select("anchor", "did", "rid", "lo", "hi", "bytes").repartition("anchor").sortWithinPartitions("anchor", "did", "rid", "lo")
     parts = small.mapInArrow(_block_factors(min_bytes, keep == "first"), "did long, rid long, lo long, hi long")
-    each = contexts.where("large").mapInArrow(_windows(min_bytes), "did long, rid long, anchor long, at long, window binary")
+    each = contexts.where("large").mapInArrow(_windows(min_bytes), "did long, rid long, anchor long, at long, window binary").persist(StorageLevel.DISK_ONLY)
     spot = F.struct("did", "rid", "at")
     counts = each.groupBy("anchor", "window").agg(F.count("*").alias("n"), F.min(spot).alias("first")).where("n > 1")
     single = each.join(counts, ["anchor", "window"])
