@@ -333,15 +333,22 @@ def _cut(size: int, texts: bool):
     return run
 
 
+def _dealt_anew(rows: DataFrame, *keys: str) -> DataFrame:
+    """Hides that rows are already dealt by the keys: a join then shuffles both sides, and Spark can split a hot key."""
+    return rows.select(*(F.col(c).bitwiseXOR(F.lit(0).cast("long")).alias(c) if c in keys else c for c in rows.columns))
+
+
 def repeated_runs(rows: DataFrame, min_bytes: int, keep: str, kgram: int, max_group: int) -> DataFrame:
     """(did, rid, lo, hi): windows lo..hi of the row are to go.  rows: from keyed()."""
     ints = "did long, rid long, anchor long, context long, lo long, hi long"
     found = rows.select("did", "rid", "text").where(F.octet_length("text") >= min_bytes)
     found = found.mapInArrow(_anchors(min_bytes, kgram), ints).persist(StorageLevel.DISK_ONLY)
     place = F.struct("did", "rid", "lo")
-    kinds = found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(place).alias("first")).persist(StorageLevel.DISK_ONLY)
-    groups = kinds.groupBy("anchor").agg(F.count("*").alias("n_kinds"), F.sum("n").alias("total")).where("total > 1")
-    kinds = kinds.join(groups, "anchor").select("anchor", "context", "n", "first", "n_kinds")
+    several = _dealt_anew(found.groupBy("anchor").count().where("count > 1"), "anchor").select("anchor")
+    found = found.join(several, "anchor").persist(StorageLevel.DISK_ONLY)
+    kinds = found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    groups = _dealt_anew(kinds.groupBy("anchor").agg(F.count("*").alias("n_kinds")), "anchor")
+    kinds = _dealt_anew(kinds.join(groups, "anchor"), "anchor", "context")
     # each of these feeds several branches; they hold repeated runs only
     marked = found.join(kinds, ["anchor", "context"]).select("did", "rid", "anchor", "lo", "hi", "n", "n_kinds", (F.col("first") == place).alias("is_first")).persist(StorageLevel.DISK_ONLY)
     whole = marked.where((F.col("n") > 1) & (F.lit(keep == "none") | ~F.col("is_first"))).select("did", "rid", "lo", "hi")
@@ -352,7 +359,7 @@ def repeated_runs(rows: DataFrame, min_bytes: int, keep: str, kgram: int, max_gr
     parts = small.mapInArrow(_block_factors(min_bytes, keep == "first"), "did long, rid long, lo long, hi long")
     each = contexts.where("large").mapInArrow(_windows(min_bytes), "did long, rid long, anchor long, at long, window binary").persist(StorageLevel.DISK_ONLY)
     spot = F.struct("did", "rid", "at")
-    counts = each.groupBy("anchor", "window").agg(F.count("*").alias("n"), F.min(spot).alias("first")).where("n > 1")
+    counts = _dealt_anew(each.groupBy("anchor", "window").agg(F.count("*").alias("n"), F.min(spot).alias("first")).where("n > 1"), "anchor")
     single = each.join(counts, ["anchor", "window"])
     single = single if keep == "none" else single.where(F.col("first") != spot)
     return whole.unionByName(parts).unionByName(single.select("did", "rid", F.col("at").alias("lo"), F.col("at").alias("hi")))
