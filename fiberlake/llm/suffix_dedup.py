@@ -342,7 +342,8 @@ def repeated_runs(rows: DataFrame, min_bytes: int, keep: str, kgram: int, max_gr
     """(did, rid, lo, hi): windows lo..hi of the row are to go.  rows: from keyed()."""
     ints = "did long, rid long, anchor long, context long, lo long, hi long"
     found = rows.select("did", "rid", "text").where(F.octet_length("text") >= min_bytes)
-    found = found.mapInArrow(_anchors(min_bytes, kgram), ints).persist(StorageLevel.DISK_ONLY)
+    # worked out twice, for counts and for places: all runs of all texts would take much of the input's size on disk
+    found = found.mapInArrow(_anchors(min_bytes, kgram), ints)
     place = F.struct("did", "rid", "lo")
     several = _dealt_anew(found.groupBy("anchor").count().where("count > 1"), "anchor").select("anchor")
     found = found.join(several, "anchor").persist(StorageLevel.DISK_ONLY)
