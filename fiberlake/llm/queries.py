@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fiberlake.llm.chat import format_chat
 from fiberlake.llm.common import table
+from fiberlake.llm.licenses import license_scan
 from fiberlake.llm.packing import best_fit_pack
 from fiberlake.llm.secrets import secret_scan
+from fiberlake.llm.sentencepiece import encode_documents
 from fiberlake.llm.simhash import simhash_groups
 from fiberlake.llm.suffix_dedup import suffix_dedup
 from fiberlake.llm.toxicity import toxicity
 from fiberlake.llm.vectors import exact_topk, nearest_neighbours
 
+#: Read by the driver alone; executors get what it holds.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
@@ -39,13 +45,25 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), words=4, radius=4).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chat(table(spark, sf_dir, "conversations"))
+
+
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str, path: str = VOCABULARY) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), path)
+
+
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scans, op2_best_fit_packing, op3_suffix_dedup, op4_toxicity, op5_exact_topk, op6_simhash, op10_nearest_neighbours)
+    for f in (op1_secret_scans, op2_best_fit_packing, op3_suffix_dedup, op4_toxicity, op5_exact_topk, op6_simhash, op7_chat_formatting, op8_license_scans, op9_sentencepiece, op10_nearest_neighbours)
 }
 
 ORACLE_SQL: dict[str, str] = {

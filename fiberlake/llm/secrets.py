@@ -54,12 +54,12 @@ def spans_of(text: Column, pattern: str, kind: int, matches: Column, value: tupl
     return F.when(F.size(matches) > 0, found).otherwise(F.array().cast(_SPAN))
 
 
-def scan(rows: DataFrame) -> DataFrame:
-    """rows with a column of spans for each kind, and without the text."""
+def scan(rows: DataFrame, text: bool = False) -> DataFrame:
+    """rows with a column of spans for each kind, and without the text unless it is wanted."""
     patterns = [("assign", ASSIGN, (2, 6)), ("access", ACCESS, None), ("hex", HEX, None), ("identifier", IDENTIFIER, None), ("blob", BLOB, None), ("endpoint", ENDPOINT, None)]
     kept = [c for c in rows.columns if c != "text"]
     matched = rows.select(*kept, "text", *(F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(f"m_{n}") for n, p, _ in patterns))
-    return matched.select(*kept, *(spans_of(F.col("text"), p, k, F.col(f"m_{n}"), value).alias(n) for k, (n, p, value) in enumerate(patterns)))
+    return matched.select(*kept, *["text"] * text, *(spans_of(F.col("text"), p, k, F.col(f"m_{n}"), value).alias(n) for k, (n, p, value) in enumerate(patterns)))
 
 
 def joined(spans: Column) -> Column:
@@ -94,3 +94,21 @@ def secret_scan(docs: DataFrame, scope: int = 200) -> DataFrame:
     rows = rows.join(weak, ["did", "rid"], "left").withColumn("weak", F.coalesce("weak", F.array().cast(_SPAN)))
     every = F.array_sort(F.concat("base", "weak"))
     return rows.select("doc_id", "n_assign", "n_access", "n_hex", F.size("weak").cast("long").alias("n_linked"), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(every).alias("spans"))
+
+
+def redact(docs: DataFrame, columns: tuple[str, ...] = (), scope: int = 200, mark: str = "[SECRET]") -> DataFrame:
+    """doc_id, text and the named further columns, each secret (overlapping ones together) replaced by the mark."""
+    found = scan(keyed(docs, *(F.col(c) for c in columns)), text=True)
+    weak = linked(found, scope)
+    rows = found.join(weak, ["did", "rid"], "left")
+    every = F.array_sort(F.concat("assign", "access", "hex", F.coalesce("weak", F.array().cast(_SPAN))))
+
+    def step(state, s):
+        at = state["at"]
+        gap = F.substring(F.col("text"), (at + 1).cast("int"), F.greatest(s["start"] - at, F.lit(0)).cast("int"))
+        piece = F.when(s["start"] >= at, F.concat(gap, F.lit(mark))).otherwise(F.lit(""))
+        return F.struct(F.greatest(at, s["end"]).alias("at"), F.concat(state["out"], piece).alias("out"))
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    cut = F.aggregate(every, start, step, lambda x: F.concat(x["out"], F.substring(F.col("text"), (x["at"] + 1).cast("int"), F.length("text"))))
+    return rows.select("doc_id", *columns, F.when(F.size(every) > 0, cut).otherwise(F.col("text")).alias("text"))

@@ -49,9 +49,9 @@ def fingerprint(text: str, words: int = 4) -> int:
 def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 22):
-                found = np.array([fingerprint(t, words) for t in part.column("text").to_pylist()], np.uint64).view(np.int64)
-                rest = [(n, part.column(n)) for n in part.schema.names if n != "text"]
+            for part in slices(batch, "body", 1 << 22):
+                found = np.array([fingerprint(t, words) for t in part.column("body").to_pylist()], np.uint64).view(np.int64)
+                rest = [(n, part.column(n)) for n in part.schema.names if n != "body"]
                 yield pa.RecordBatch.from_arrays([c for _, c in rest] + [pa.array(found)], names=[n for n, _ in rest] + ["fp"])
 
     return run
@@ -175,11 +175,11 @@ def components(links: DataFrame) -> DataFrame:
     return known.unionByName(roots.join(known.select("node"), "node", "left_anti"))
 
 
-def simhash_groups(docs: DataFrame, words: int = 4, radius: int = 4, tile: int = 16384, columns: tuple[str, ...] = ()) -> DataFrame:
+def simhash_groups(docs: DataFrame, words: int = 4, radius: int = 4, tile: int = 16384, columns: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
     """doc_id, the named further columns, fp (long), fingerprint (16 hex digits) and component_id."""
     rest = [F.col(c) for c in columns if c not in ("doc_id", "text")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *rest, text_of().alias("text"))
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text") + ", fp long"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *rest, text_of().alias("body"), *([F.col("text")] if keep_text else []))
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "body") + ", fp long"
     rows = rows.mapInArrow(_fingerprints(words), shape).persist(StorageLevel.DISK_ONLY)
     each = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).persist(StorageLevel.DISK_ONLY)
     found = components(near_links(each.select("fp"), radius, tile))
