@@ -1,15 +1,201 @@
-"""Registered queries and the SQL that gives the same rows."""
+"""Registered queries over the driver's tables and the SQL that gives the same rows.
+
+Embeddings are read as a patch: distance is vec_id, time the place in the vector.  Events are read as a catalog of
+recordings (one for each user and day), and as a stream.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from fiberlake.operators import aggregating, arithmetic, kernels, selecting, spectral, spool, windows
+from fiberlake.patch import Coord, Patch
+from fiberlake.streaming import streams
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+TIMES = 64  # the length of every vector in embeddings
+
+_P = "p AS (SELECT vec_id AS distance, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS time, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings)"
+_N = _P + ", n AS (SELECT distance, time, CASE WHEN value > 0.1 THEN NULL ELSE value END AS value FROM p)"
+
+
+def register(name: str, f: Query, sql: str | None = None) -> None:
+    QUERIES[name] = f
+    if sql:
+        ORACLES[name] = sql
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of embeddings; the scan reads two columns."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    out = e.select(F.col("vec_id").alias("distance"), F.posexplode(F.col("embedding").cast("array<double>")).alias("time_idx", "value"))
+    return out.select("distance", F.col("distance").alias("distance_idx"), F.col("time_idx").cast("long").alias("time"), F.col("time_idx").cast("long").alias("time_idx"), "value")
+
+
+def patch(spark: SparkSession, sf_dir: str, nulls: bool = False) -> Patch:
+    """vec_ids run from 0 without gaps, so the count of rows (metadata of the file) is the length of distance."""
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    df = cells(spark, sf_dir)
+    if nulls:
+        df = df.withColumn("value", F.when(F.col("value") <= 0.1, F.col("value")))
+    return Patch(df, ("distance", "time"), {"distance": Coord(n, 0, 1, "m"), "time": Coord(TIMES, 0, 1, "s")})
+
+
+def rounded(out: Patch, digits: int = 6) -> DataFrame:
+    return out.df.select(*(F.col(d) for d in out.dims), (F.round("value", digits) + F.lit(0.0)).alias("value"))
+
+
+def on_patch(name: str, f: Callable[[Patch], Patch], sql: str | None = None, nulls: bool = False, digits: int = 6) -> None:
+    """sql: a select over p (or n, with nulls) of the dimensions and x, the value before it is rounded."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(f(patch(spark, sf_dir, nulls)), digits)
+
+    oracle = sql and f"WITH {_N if nulls else _P}, r AS ({sql}) SELECT * EXCLUDE (x), round(CAST(x AS DOUBLE), {digits}) + 0.0 AS value FROM r"
+    register(name, run, oracle)
+
+
+# selection and shape
+on_patch("select_range", lambda p: selecting.select(p, "time", 8, 55), "SELECT distance, time, value AS x FROM p WHERE time BETWEEN 8 AND 55")
+on_patch("select_open", lambda p: selecting.select(p, "time", None, 20), "SELECT distance, time, value AS x FROM p WHERE time <= 20")
+on_patch("select_relative", lambda p: selecting.select(p, "time", 10, -10, relative=True), "SELECT distance, time, value AS x FROM p WHERE time BETWEEN 10 AND 53")
+on_patch("select_samples", lambda p: selecting.select(p, "time", -5, None, samples=True), "SELECT distance, time, value AS x FROM p WHERE time >= 59")
+on_patch("select_isin", lambda p: selecting.isin(p, "distance", [1, 5, 9, 400]), "SELECT distance, time, value AS x FROM p WHERE distance IN (1, 5, 9, 400)")
+register("order_values", lambda s, d: (q := selecting.order(patch(s, d), "time", [5, 2, 2, 60])).df.select("distance", F.col("time_idx").alias("place"), "time", F.round("value", 6).alias("value")), f"WITH {_P}, o AS (SELECT unnest([5, 2, 2, 60]) AS t, unnest([0, 1, 2, 3]) AS place) SELECT distance, CAST(place AS BIGINT) AS place, time, round(value, 6) AS value FROM p JOIN o ON time = t")
+on_patch("where_cond", lambda p: selecting.where(p, F.col("value") > 0, 0.0), "SELECT distance, time, CASE WHEN value > 0 THEN value ELSE 0 END AS x FROM p")
+on_patch("full", lambda p: selecting.full(p, 2.5), "SELECT distance, time, 2.5 AS x FROM p")
+on_patch("fillna", lambda p: selecting.fillna(p, -1.0), "SELECT distance, time, coalesce(value, -1) AS x FROM n", nulls=True)
+on_patch("dropna_any", lambda p: selecting.dropna(p, "distance", "any"), "SELECT distance, time, value AS x FROM n WHERE distance IN (SELECT distance FROM n GROUP BY 1 HAVING count(value) = count(*))", nulls=True)
+on_patch("dropna_all", lambda p: selecting.dropna(p, "distance", "all"), "SELECT distance, time, value AS x FROM n WHERE distance IN (SELECT distance FROM n GROUP BY 1 HAVING count(value) > 0)", nulls=True)
+register("flip", lambda s, d: selecting.flip(patch(s, d), "time").df.select("distance", "time_idx", "time", F.round("value", 6).alias("value")), f"WITH {_P} SELECT distance, 63 - time AS time_idx, time, round(value, 6) AS value FROM p")
+on_patch("roll", lambda p: selecting.roll(p, "time", 5), "SELECT distance, (time + 5) % 64 AS time, value AS x FROM p")
+on_patch("pad_const", lambda p: selecting.pad(p, "time", 2, 3, 1.0), "SELECT distance, time, value AS x FROM p UNION ALL SELECT DISTINCT distance, t, 1.0 FROM p, (SELECT CAST(unnest([-2, -1, 64, 65, 66]) AS BIGINT) AS t)")
+on_patch("append_dim", lambda p: selecting.append_dim(selecting.select(p, "time", 0, 3), "shot", [7, 8]), "SELECT distance, time, CAST(s AS INTEGER) AS shot, value AS x FROM p, (SELECT unnest([7, 8]) AS s) WHERE time <= 3")
+register("sort_coord", lambda s, d: selecting.sort_coord(patch(s, d), "time", reverse=True).df.select("distance", "time", "time_idx", F.round("value", 6).alias("value")), f"WITH {_P} SELECT distance, time, 63 - time AS time_idx, round(value, 6) AS value FROM p")
+register("to_dataframe_pivot", lambda s, d: selecting.to_dataframe(patch(s, d), list(range(4))).select("distance", *(F.round(F.col(str(i)), 6).alias(f"t{i}") for i in range(4))), "SELECT vec_id AS distance, " + ", ".join(f"round(CAST(embedding[{i + 1}] AS DOUBLE), 6) AS t{i}" for i in range(4)) + " FROM embeddings")
+
+# aggregation
+_SQL_AGG = {"min": "min(value)", "max": "max(value)", "mean": "avg(value)", "median": "median(value)", "std": "stddev_pop(value)", "sum": "coalesce(sum(value), 0)", "first": "arg_min_null(value, time)", "last": "arg_max_null(value, time)", "any": "CAST(bool_or(coalesce(value <> 0, true)) AS DOUBLE)", "all": "CAST(bool_and(coalesce(value <> 0, true)) AS DOUBLE)"}
+for _m, _sql in _SQL_AGG.items():
+    on_patch(f"agg_{_m}", partial(lambda p, m: aggregating.aggregate(p, "time", m), m=_m), f"SELECT distance, {_sql} AS x FROM n GROUP BY 1", nulls=True)
+on_patch("ufunc_accumulate", lambda p: aggregating.accumulate(p, "time"), "SELECT distance, time, sum(value) OVER (PARTITION BY distance ORDER BY time) AS x FROM p")
+
+# windows
+_ROLL = {"mean": "avg(value)", "min": "min(value)", "max": "max(value)", "sum": "sum(value)", "std": "stddev_pop(value)", "median": "quantile_cont(value, 0.5)"}
+for _m, _sql in _ROLL.items():
+    on_patch(f"roll_{_m}", partial(lambda p, m: windows.rolling(p, "time", 5, m), m=_m), f"SELECT distance, time, CASE WHEN count(value) OVER w = 5 THEN {_sql} OVER w END AS x FROM n WINDOW w AS (PARTITION BY distance ORDER BY time ROWS 4 PRECEDING)", nulls=True)
+on_patch("roll_center", lambda p: windows.rolling(p, "time", 5, "mean", center=True), "SELECT distance, time, CASE WHEN count(value) OVER w = 5 THEN avg(value) OVER w END AS x FROM p WINDOW w AS (PARTITION BY distance ORDER BY time ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")
+on_patch("roll_step", lambda p: windows.rolling(p, "time", 4, "sum", step=3), "SELECT * FROM (SELECT distance, time, CASE WHEN count(value) OVER w = 4 THEN sum(value) OVER w END AS x FROM p WINDOW w AS (PARTITION BY distance ORDER BY time ROWS 3 PRECEDING)) WHERE time % 3 = 0")
+on_patch("stalta", lambda p: windows.stalta(p.map_value(F.abs, "abs"), "time", 3, 10), "SELECT distance, time, CASE WHEN count(value) OVER l = 10 THEN avg(abs(value)) OVER s / avg(abs(value)) OVER l END AS x FROM p WINDOW s AS (PARTITION BY distance ORDER BY time ROWS 2 PRECEDING), l AS (PARTITION BY distance ORDER BY time ROWS 9 PRECEDING)")
+_T = "OVER (PARTITION BY distance)"
+on_patch("demean", lambda p: windows.demean(p, "time"), f"SELECT distance, time, value - avg(value) {_T} AS x FROM p")
+on_patch("demedian", lambda p: windows.demedian(p, "time"), f"SELECT distance, time, value - median(value) {_T} AS x FROM p")
+on_patch("standardize", lambda p: windows.standardize(p, "time"), f"SELECT distance, time, (value - avg(value) {_T}) / stddev_pop(value) {_T} AS x FROM p")
+on_patch("normalize_l1", lambda p: windows.normalize(p, "time", "l1"), f"SELECT distance, time, value / sum(abs(value)) {_T} AS x FROM p")
+on_patch("normalize_l2", lambda p: windows.normalize(p, "time", "l2"), f"SELECT distance, time, value / sqrt(sum(value * value) {_T}) AS x FROM p")
+on_patch("normalize_max", lambda p: windows.normalize(p, "time", "max"), f"SELECT distance, time, value / max(abs(value)) {_T} AS x FROM p")
+on_patch("normalize_bit", lambda p: windows.normalize(p, "time", "bit"), "SELECT distance, time, sign(value) AS x FROM p")
+on_patch("detrend_linear", lambda p: windows.detrend(p, "time"), f"SELECT distance, time, value - (regr_slope(value, time) {_T} * time + regr_intercept(value, time) {_T}) AS x FROM p")
+on_patch("integrate_cum", lambda p: windows.integrate(p, "time"), "SELECT distance, time, sum(part) OVER (PARTITION BY distance ORDER BY time) AS x FROM (SELECT distance, time, coalesce((value + lag(value) OVER w) / 2, 0) AS part FROM p WINDOW w AS (PARTITION BY distance ORDER BY time))")
+on_patch("integrate_def", lambda p: windows.integrate(p, "time", definite=True), "SELECT distance, sum(part) AS x FROM (SELECT distance, coalesce((value + lag(value) OVER (PARTITION BY distance ORDER BY time)) / 2, 0) AS part FROM p) GROUP BY 1")
+_DIFF = "CASE WHEN time < {k} THEN (-3 * value + 4 * lead(value, {k}) OVER w - lead(value, {k2}) OVER w) / (2.0 * {k}) WHEN time >= 64 - {k} THEN (3 * value - 4 * lag(value, {k}) OVER w + lag(value, {k2}) OVER w) / (2.0 * {k}) ELSE (lead(value, {k}) OVER w - lag(value, {k}) OVER w) / (2.0 * {k}) END"
+for _k, _name in ((1, "differentiate"), (2, "differentiate_step")):
+    on_patch(_name, partial(lambda p, k: windows.differentiate(p, "time", k), k=_k), "SELECT distance, time, " + _DIFF.format(k=_k, k2=2 * _k) + " AS x FROM p WINDOW w AS (PARTITION BY distance ORDER BY time)")
+on_patch("strain_rate_edgeless", lambda p: windows.strain_rate_edgeless(p, "time", 2), "SELECT * FROM (SELECT distance, time + 1.0::DOUBLE AS time, (lead(value, 2) OVER w - value) / 2 AS x FROM p WINDOW w AS (PARTITION BY distance ORDER BY time)) WHERE x IS NOT NULL")
+on_patch("kurtosis_windowed", lambda p: windows.kurtosis(p, "time", 16), "SELECT distance, time, CASE WHEN count(value) OVER w = 16 THEN (m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 * m1 * m1 * m1) / ((m2 - m1 * m1) * (m2 - m1 * m1)) - 3 END AS x FROM (SELECT *, avg(value) OVER w AS m1, avg(value * value) OVER w AS m2, avg(value * value * value) OVER w AS m3, avg(value * value * value * value) OVER w AS m4 FROM p WINDOW w AS (PARTITION BY distance ORDER BY time ROWS 15 PRECEDING)) WINDOW w AS (PARTITION BY distance ORDER BY time ROWS 15 PRECEDING)", digits=4)
+
+# arithmetic
+_half = lambda p: selecting.select(p, "time", 10, 40)
+_ALIGN = "SELECT a.distance, a.time, {x} AS x FROM p a JOIN p b ON a.distance = b.distance AND a.time = b.time AND b.time BETWEEN 10 AND 40"
+for _m, _sql in {"add": "a.value + b.value", "subtract": "a.value - 2 * b.value", "multiply": "a.value * b.value", "divide": "a.value / nullif(b.value, 0)", "maximum": "greatest(a.value, b.value)", "greater_equal": "CAST(a.value >= b.value AS DOUBLE)"}.items():
+    on_patch(f"{_m}_align", partial(lambda p, m: arithmetic.binary(p, _half(p) if m != "subtract" else arithmetic.binary(_half(p), 2, "multiply"), m), m=_m), _ALIGN.format(x=_sql))
+on_patch("broadcast_subtract", lambda p: arithmetic.binary(p, aggregating.aggregate(p, "time", "mean"), "subtract"), f"SELECT distance, time, value - avg(value) {_T} AS x FROM p")
+_F = {"floor_divide": "floor(value / 0.07)", "mod": "value - 0.07 * floor(value / 0.07)", "power": "pow(value, 2)", "less": "CAST(value < 0.05 AS DOUBLE)"}
+for (_m, _sql), _v in zip(_F.items(), (0.07, 0.07, 2, 0.05)):
+    on_patch(_m, partial(lambda p, m, v: arithmetic.binary(p, v, m), m=_m, v=_v), f"SELECT distance, time, {_sql} AS x FROM p")
+_U = {"exp": "exp(value)", "log": "CASE WHEN value > 0 THEN ln(value) END", "log10": "CASE WHEN value > 0 THEN log10(value) END", "log2": "CASE WHEN value > 0 THEN log2(value) END", "abs": "abs(value)", "negative": "-value", "isnan": "CAST(value IS NULL AS DOUBLE)", "isfinite": "CAST(value IS NOT NULL AS DOUBLE)"}
+for _m, _sql in _U.items():
+    on_patch(_m, partial(lambda p, m: arithmetic.unary(p, m), m=_m), f"SELECT distance, time, {_sql} AS x FROM n", nulls=True)
+
+# kernels; a table of border indices gives the samples that an output needs
+_K = "k AS (SELECT distance, o.time AS time, k, p.value FROM (SELECT time, k, time + k AS j FROM (SELECT DISTINCT time FROM p), (SELECT unnest(range(-{r}, {r} + 1)) AS k)) o JOIN p ON p.time = CASE WHEN j < 0 THEN -1 - j WHEN j > 63 THEN 127 - j ELSE j END)"
+
+
+def on_kernel(name: str, f: Callable[[Patch], Patch], radius: int, sql: str) -> None:
+    QUERIES[name] = lambda s, d: rounded(f(patch(s, d)))
+    ORACLES[name] = f"WITH {_P}, {_K.format(r=radius)} SELECT distance, time, round({sql}, 6) + 0.0 AS value FROM k GROUP BY 1, 2"
+
+
+on_kernel("moving_mean", lambda p: kernels.moving(p, "time", 5, "mean"), 2, "avg(value)")
+on_kernel("moving_sum", lambda p: kernels.moving(p, "time", 5, "sum"), 2, "sum(value)")
+on_kernel("moving_min", lambda p: kernels.moving(p, "time", 5, "min"), 2, "min(value)")
+on_kernel("moving_max", lambda p: kernels.moving(p, "time", 5, "max"), 2, "max(value)")
+on_kernel("moving_std", lambda p: kernels.moving(p, "time", 5, "std"), 2, "stddev_pop(value)")
+on_kernel("median_1d", lambda p: kernels.median(p, "time", 5), 2, "median(value)")
+on_kernel("gaussian", lambda p: kernels.gaussian(p, "time", 1.5), 6, "sum(value * exp(-0.5 * (k / 1.5) ** 2)) / (SELECT sum(exp(-0.5 * (i / 1.5) ** 2)) FROM (SELECT unnest(range(-6, 7)) AS i))")
+on_kernel("savgol", lambda p: kernels.savgol(p, "time", 5, 2), 2, "sum(value * CASE abs(k) WHEN 0 THEN 17 WHEN 1 THEN 12 ELSE -3 END) / 35")
+on_patch("sobel", lambda p: kernels.sobel(p, "time"))
+on_patch("hampel", lambda p: kernels.hampel(p, "time", 5))
+on_patch("taper", lambda p: kernels.taper(p, "time", 0.125), "SELECT distance, time, value * CASE WHEN least(time, 63 - time) < 8 THEN 0.5 - 0.5 * cos(least(time, 63 - time) * pi() / 8) ELSE 1 END AS x FROM p")
+on_patch("decimate_slice", lambda p: windows.decimate(p, "time", 4), "SELECT distance, time, value AS x FROM p WHERE time % 4 = 0")
+on_patch("interp_linear", lambda p: kernels.interpolate(p, "time", [0.5, 10.25, 64.0]), "SELECT a.distance, t AS time, a.value * (1 - (t - a.time)) + b.value * (t - a.time) AS x FROM (SELECT CAST(unnest([0.5, 10.25, 64.0]) AS DOUBLE) AS t) JOIN p a ON a.time = least(CAST(floor(t) AS BIGINT), 62) JOIN p b ON b.distance = a.distance AND b.time = a.time + 1")
+
+# transforms
+on_patch("dft_naive", lambda p: spectral.amplitude_spectrum(selecting.select(p, "distance", 0, 49), "time"), "SELECT distance, k / 64.0::DOUBLE AS ft_time, sqrt(pow(sum(value * cos(2 * pi() * k * time / 64)), 2) + pow(sum(value * sin(2 * pi() * k * time / 64)), 2)) AS x FROM p, (SELECT unnest(range(33)) AS k) WHERE distance < 50 GROUP BY 1, 2")
+on_patch("pass_filter", lambda p: spectral.pass_filter(p, "time", 0.05, 0.2))
+on_patch("envelope", lambda p: spectral.envelope(p, "time"))
+on_patch("hilbert", lambda p: spectral.hilbert(p, "time"))
+on_patch("resample", lambda p: spectral.resample(p, "time", 48))
+on_patch("whiten", lambda p: spectral.whiten(p, "time"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.size("embedding").alias("n"))
+    """Select, demean, rolling mean, standard deviation."""
+    p = selecting.select(patch(spark, sf_dir), "time", 8, 55)
+    return rounded(aggregating.aggregate(windows.rolling(windows.demean(p, "time"), "time", 5, "mean"), "time", "std"))
+
+
+register("flagship", flagship, f"WITH {_P}, d AS (SELECT distance, time, value - avg(value) {_T} AS value FROM p WHERE time BETWEEN 8 AND 55), r AS (SELECT distance, CASE WHEN count(value) OVER w = 5 THEN avg(value) OVER w END AS value FROM d WINDOW w AS (PARTITION BY distance ORDER BY time ROWS 4 PRECEDING)) SELECT distance, round(stddev_pop(value), 6) + 0.0 AS value FROM r GROUP BY 1")
+
+
+# catalogs
+def micros(column: str) -> Column:
+    return F.unix_micros(F.col(column).cast("timestamp"))
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recording for each user and day; times in microseconds."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_type")
+    day = e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.min(micros("ts")).alias("time_min"), F.max(micros("ts")).alias("time_max"), F.max("event_type").alias("tag"))
+    return day.select(F.concat_ws("_", F.lit("sta"), F.col("user_id").cast("string")).alias("station"), F.concat_ws("/", F.col("user_id").cast("string"), F.col("day").cast("string")).alias("patch_id"), "tag", "time_min", "time_max", F.lit(1_000_000).cast("long").alias("time_step"))
+
+
+_C = "c AS (SELECT 'sta_' || user_id AS station, user_id || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) AS patch_id, max(event_type) AS tag, min(epoch_us(ts)) AS time_min, max(epoch_us(ts)) AS time_max, CAST(1000000 AS BIGINT) AS time_step FROM events GROUP BY user_id, CAST(ts AS DATE))"
+_LOW, _HIGH = 1704412800_000_000, 1705000000_000_000
+_DAY = 86_400_000_000
+_ISLAND = "i AS (SELECT *, sum(CASE WHEN b IS NULL OR time_min > b + {tol} THEN 1 ELSE 0 END) OVER (PARTITION BY station ORDER BY time_min, time_max ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, max(time_max) OVER (PARTITION BY station ORDER BY time_min, time_max ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM c)), m AS (SELECT station, island, min(time_min) AS a, max(time_max) AS z FROM i GROUP BY 1, 2)"
+_TOL = _DAY / 1_000_000
+register("filter_glob", lambda s, d: spool.filter_catalog(catalog(s, d), station="sta_1?"), f"WITH {_C} SELECT * FROM c WHERE regexp_full_match(station, 'sta_1.')")
+register("filter_isin", lambda s, d: spool.filter_catalog(catalog(s, d), station=["sta_1", "sta_7"]), f"WITH {_C} SELECT * FROM c WHERE station IN ('sta_1', 'sta_7')")
+register("filter_minmax", lambda s, d: spool.filter_catalog(catalog(s, d), time_min=(_LOW, None)), f"WITH {_C} SELECT * FROM c WHERE time_min >= {_LOW}")
+register("filter_overlap", lambda s, d: spool.filter_catalog(catalog(s, d), time=(_LOW, _HIGH)), f"WITH {_C} SELECT * FROM c WHERE time_max >= {_LOW} AND time_min <= {_HIGH}")
+register("adjust_segments", lambda s, d: spool.adjust_segments(catalog(s, d), time=(_LOW, _HIGH)), f"WITH {_C} SELECT station, patch_id, tag, greatest(time_min, {_LOW}) AS time_min, least(time_max, {_HIGH}) AS time_max, time_step, time_min < {_LOW} OR time_max > {_HIGH} AS modified FROM c WHERE time_max >= {_LOW} AND time_min <= {_HIGH}")
+register("spool_split", lambda s, d: spool.split(catalog(s, d), 100, ["time_min", "patch_id"]).select("patch_id", F.col("block").cast("long").alias("block")), f"WITH {_C} SELECT patch_id, CAST(floor((row_number() OVER (ORDER BY time_min, patch_id) - 1) / 100) AS BIGINT) AS block FROM c")
+register("chunk_merge", lambda s, d: spool.chunk(catalog(s, d), "time", ["station"], tolerance=_TOL).select("station", "time_min", "time_max"), f"WITH {_C}, {_ISLAND.format(tol=_DAY)} SELECT station, a AS time_min, z AS time_max FROM m")
+_CUT = "SELECT station, s AS time_min, least(s + {n} - 1000000, z) AS time_max FROM (SELECT station, z, a, unnest(range(a, z + 1, {stride})) AS s FROM m)"
+register("chunk_fixed", lambda s, d: spool.chunk(catalog(s, d), "time", ["station"], length=_DAY, tolerance=_TOL).select("station", "time_min", "time_max"), f"WITH {_C}, {_ISLAND.format(tol=_DAY)} " + _CUT.format(n=_DAY, stride=_DAY) + f" WHERE s + {_DAY} - 1000000 <= z")
+register("chunk_overlap", lambda s, d: spool.chunk(catalog(s, d), "time", ["station"], length=_DAY, overlap=_DAY // 2, tolerance=_TOL).select("station", "time_min", "time_max"), f"WITH {_C}, {_ISLAND.format(tol=_DAY)} " + _CUT.format(n=_DAY, stride=_DAY // 2) + f" WHERE s + {_DAY} - 1000000 <= z")
+register("chunk_partial", lambda s, d: spool.chunk(catalog(s, d), "time", ["station"], length=_DAY, keep_partial=True, tolerance=_TOL).select("station", "time_min", "time_max"), f"WITH {_C}, {_ISLAND.format(tol=_DAY)} " + _CUT.format(n=_DAY, stride=_DAY) + " WHERE s + 1000000 <= z")
+register("chunk_instructions", lambda s, d: spool.instructions(spool.chunk(catalog(s, d), "time", ["station"], length=_DAY, keep_partial=True, tolerance=_TOL), catalog(s, d), "time", ["station"], _DAY), f"WITH {_C}, {_ISLAND.format(tol=_DAY)}, k AS (" + _CUT.format(n=_DAY, stride=_DAY) + " WHERE s + 1000000 <= z) SELECT k.station, k.time_min AS chunk_min, k.time_max AS chunk_max, patch_id, greatest(k.time_min, c.time_min) AS time_min, least(k.time_max, c.time_max) AS time_max FROM k JOIN c ON k.station = c.station AND c.time_min <= k.time_max AND c.time_max >= k.time_min")
+register("attrs_combine", lambda s, d: spool.combine_attrs(catalog(s, d), ["station"], ["tag", "time_step"], "time_min"), f"WITH {_C} SELECT station, CASE WHEN count(DISTINCT tag) = 1 THEN min(tag) END AS tag, min(time_step) AS time_step FROM c GROUP BY 1")
+register("patch_names", lambda s, d: catalog(s, d).select("patch_id", F.concat_ws("__", F.lit("DAS"), "station", "tag", F.col("time_min").cast("string"), F.col("time_max").cast("string")).alias("name")), f"WITH {_C} SELECT patch_id, 'DAS__' || station || '__' || tag || '__' || time_min || '__' || time_max AS name FROM c")
+register("stack", lambda s, d: spool.stack(cells(s, d).withColumn("shot", F.col("distance") % 10), ["shot", "time"]).select("shot", "time", F.round("value", 4).alias("value")), f"WITH {_P} SELECT distance % 10 AS shot, time, round(sum(value), 4) AS value FROM p GROUP BY 1, 2")
+
+# streams, run until what is there has been read
+register("stream_tumbling", lambda s, d: streams.tumbling(s, f"{d}/events.parquet"), "SELECT epoch_us(time_bucket(INTERVAL 1 day, ts)) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+register("stream_sliding", lambda s, d: streams.tumbling(s, f"{d}/events.parquet", slide="12 hours"), "SELECT epoch_us(start) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT *, unnest([time_bucket(INTERVAL 12 hours, ts), time_bucket(INTERVAL 12 hours, ts) - INTERVAL 12 hours]) AS start FROM events) GROUP BY ALL")
