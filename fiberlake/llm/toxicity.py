@@ -168,12 +168,12 @@ def is_held_out() -> Column:
 
 
 def least_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Copies and most near copies share it: the smallest hash of three words in a row."""
+    """Copies and most near copies share it: the smallest hash of five words in a row."""
     for batch in batches:
         out = []
         for text in batch.column("text").to_pylist():
             words = text.lower().encode().split()
-            out.append(min((xxhash.xxh64_intdigest(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=0) - (1 << 63))
+            out.append(min((xxhash.xxh64_intdigest(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))), default=0) - (1 << 63))
         yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("toxic"), pa.array(out, pa.int64())], names=["text", "toxic", "least"])
 
 
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, features: int =
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded: `sample` rows of two numbers
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(F.broadcast(known), "doc_id").select("text", "toxic")
-    texts = texts.mapInArrow(least_shingle, "text string, toxic int, least long").groupBy("least").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic").persist(StorageLevel.DISK_ONLY)
+    texts = texts.mapInArrow(least_shingle, "text string, toxic int, least long").groupBy("least", "toxic").agg(F.min("text").alias("text")).select("text", "toxic").persist(StorageLevel.DISK_ONLY)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: tuple[Counter, Counter] = (Counter(), Counter())

@@ -189,7 +189,7 @@ def test_searches(spark):
 
 def test_toxicity(spark):
     rnd = random.Random(5)
-    plain = ["river", "stone", "cloud", "green", "walk", "house"]
+    plain = ["river", "stone", "cloud", "green", "walk", "house", "lamp", "paper", "tree", "grass", "dune", "coal"]
     bad = ["vilest", "horrid", "nastyish"]
     rows, labels = [], []
     for i in range(600):
