@@ -74,23 +74,25 @@ def threshold_topk(ids: np.ndarray, matrix: np.ndarray, query: np.ndarray, k: in
     if not len(dims):
         return heapq.nsmallest(k, ((0, i) for i in ids.tolist() if i != own), key=lambda x: x[1])
     up, weights = query[dims] > 0, query[dims]
-    lists = np.where(up[None, :], order[::-1, dims], order[:, dims])
     seen = np.zeros(n, bool)
     seen[ids == own] = True
     scores, rows, depth, step = [], [], 0, max(k, 8)
     kth = None
     while depth < n:
         to = min(n, depth + step)
-        fresh = np.unique(lists[depth:to])
-        fresh = fresh[~seen[fresh]]
-        seen[fresh] = True
+        # only the part of the lists that this step reads
+        part = np.where(up, order[::-1][depth:to], order[depth:to]) if len(dims) == order.shape[1] else np.where(up, order[::-1][depth:to, dims], order[depth:to, dims])
+        met = np.zeros(n, bool)
+        met[part] = True
+        fresh = np.flatnonzero(met & ~seen)
+        seen |= met
         scores.append(matrix[fresh] @ query)
         rows.append(fresh)
         depth, step = to, step * 2
         got = np.concatenate(scores)
         if len(got) >= k:
             kth = np.partition(got, len(got) - k)[len(got) - k] if got.dtype != object else sorted(got)[-k]
-            if kth > (weights * matrix[lists[depth - 1], dims]).sum():
+            if kth > (weights * matrix[part[-1], dims]).sum():
                 break
     got, rows = np.concatenate(scores), np.concatenate(rows)
     if kth is not None:
@@ -102,14 +104,16 @@ def threshold_topk(ids: np.ndarray, matrix: np.ndarray, query: np.ndarray, k: in
 def exact_topk(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, block_rows: int = 16384, query_rows: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of floor(scale * x), for queries with vec_id % every = 0.
 
-    Sums are exact: in doubles while they stay below 2^53, else in Python integers, held within the range of long.
+    Sums are exact: in floats while they stay below 2^24, in doubles below 2^53, else in Python integers, held within the range of long.
     """
 
     def solve(ids, matrix, query_ids, queries):
         most = max(1.0, float(np.abs(matrix).max()), float(np.abs(queries).max()))
         if most * most * matrix.shape[1] >= 2**53:
             matrix, queries = (np.array([[int(x) for x in row] for row in m], object) for m in (matrix, queries))
-        order = np.argsort(matrix.astype(float), axis=0, kind="stable")
+        elif most * most * matrix.shape[1] < 2**24:
+            matrix, queries = matrix.astype(np.float32), queries.astype(np.float32)
+        order = np.argsort(matrix.astype(float), axis=0, kind="stable").astype(np.int32)
         edge = 2**63 - 1
         return [(q, i, max(-edge, min(edge, int(s)))) for q, v in zip(query_ids.tolist(), queries) for s, i in threshold_topk(ids, matrix, v, k, order, q)]
 
