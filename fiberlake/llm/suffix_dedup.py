@@ -13,7 +13,8 @@ that the run's windows cover are its context.
    group.  Groups are packed into blocks of bounded size; each block gets a suffix array (prefix doubling), capped
    LCPs and the longest-previous-factor array from previous and next smaller positions.
 3. A group of more than `max_group` different contexts, or a MB of them, (a passage that a large share of all documents holds, in as
-   many surroundings) is never gathered: its windows are counted one by one, combined before the shuffle.
+   many surroundings) is never gathered: its windows are counted one by one, combined before the shuffle.  Windows are
+   left out whose core, the bytes that all windows at about their distance from the anchor have, occurs once.
 
 Edge cases: a null text is empty; texts shorter than `min_bytes` are kept whole; a repeated row is another document;
 rows that repeat both doc_id and text get the same answer, and count as one place for keep="first"; a null doc_id
@@ -23,6 +24,7 @@ stays null; extra columns are ignored.  Very long texts are cut into pieces whos
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -289,8 +291,33 @@ def _block_factors(size: int, first: bool, block_bytes: int = 1 << 17):
     return run
 
 
+def _cells(size: int, k: int, width: int):
+    """Windows of contexts in groups too large for one task, in cells of `width` by their distance from the anchor.
+
+    Equal windows lie in the same cell, and each window holds the core of its cell: the bytes that any window there has.
+    So a window can only be repeated if its core is.  A row has the bytes of a context's windows in one cell.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in range(0, batch.num_rows, 2000):
+                rows = []
+                for did, rid, anchor, lo, data in zip(*(batch.slice(c, 2000).column(x).to_pylist() for x in ("did", "rid", "anchor", "lo", "bytes"))):
+                    h, last = _kgram_hashes(np.frombuffer(data[:size], np.uint8), k), len(data) - size
+                    at = int(np.argmin(h & ~np.uint64((1 << 21) - 1)))  # where the anchor of all windows starts
+                    for cell in range((at - last) // width, at // width + 1):
+                        near, far = cell * width, min(cell * width + width - 1, size - k)
+                        core = hashlib.blake2b(data[at - near : at - far + size], digest_size=16).digest()
+                        begin, end = max(0, at - far), min(last, at - near)
+                        rows.append((did, rid, anchor, cell, core, lo + begin, data[begin : end + size]))
+                kinds = [pa.int64()] * 4 + [pa.binary(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], names=["did", "rid", "anchor", "cell", "core", "lo", "bytes"])
+
+    return run
+
+
 def _windows(size: int):
-    """Every window of contexts in groups too large for one task, as (anchor, digest of its bytes)."""
+    """Every window of the given bytes, as (anchor, digest of its bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,7 +385,12 @@ def repeated_runs(rows: DataFrame, min_bytes: int, keep: str, kgram: int, max_gr
     contexts = contexts.mapInArrow(_contexts(min_bytes), "did long, rid long, anchor long, lo long, hi long, large boolean, bytes binary").persist(StorageLevel.DISK_ONLY)
     small = contexts.where(~F.col("large")).select("anchor", "did", "rid", "lo", "hi", "bytes").repartition("anchor").sortWithinPartitions("anchor", "did", "rid", "lo")
     parts = small.mapInArrow(_block_factors(min_bytes, keep == "first"), "did long, rid long, lo long, hi long")
-    each = contexts.where("large").mapInArrow(_windows(min_bytes), "did long, rid long, anchor long, at long, window binary").persist(StorageLevel.DISK_ONLY)
+    # of the large groups, only windows whose cores are repeated are counted one by one
+    width = max(8, math.isqrt(min_bytes))
+    cells = contexts.where("large").select("did", "rid", "anchor", "lo", "bytes").mapInArrow(_cells(min_bytes, kgram, width), "did long, rid long, anchor long, cell long, core binary, lo long, bytes binary").persist(StorageLevel.DISK_ONLY)
+    cores = _dealt_anew(cells.groupBy("anchor", "cell", "core").count().where("count > 1"), "anchor", "cell").select("anchor", "cell", "core")
+    each = cells.join(cores, ["anchor", "cell", "core"]).select("did", "rid", "anchor", "lo", "bytes")
+    each = each.mapInArrow(_windows(min_bytes), "did long, rid long, anchor long, at long, window binary").persist(StorageLevel.DISK_ONLY)
     spot = F.struct("did", "rid", "at")
     counts = _dealt_anew(each.groupBy("anchor", "window").agg(F.count("*").alias("n"), F.min(spot).alias("first")).where("n > 1"), "anchor")
     single = each.join(counts, ["anchor", "window"])
