@@ -33,7 +33,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fiberlake.llm.common import keyed, slices
+from fiberlake.llm.common import ensure_checkpoint_dir, keyed, slices
 
 _PIECE = 1 << 20
 _ODD = 0x9E3779B97F4A7C15 | 1
@@ -382,7 +382,10 @@ def repeated_runs(rows: DataFrame, min_bytes: int, keep: str, kgram: int, max_gr
     whole = marked.where((F.col("n") > 1) & (F.lit(keep == "none") | ~F.col("is_first"))).select("did", "rid", "lo", "hi")
     wanted = marked.where(F.col("is_first") & (F.col("n_kinds") > 1)).groupBy("did", "rid").agg(F.collect_list(F.struct("anchor", "lo", "hi", (F.col("n_kinds") > max_group).alias("large"))).alias("wanted"))
     contexts = rows.select("did", "rid", "text").join(wanted, ["did", "rid"])
-    contexts = contexts.mapInArrow(_contexts(min_bytes), "did long, rid long, anchor long, lo long, hi long, large boolean, bytes binary").persist(StorageLevel.DISK_ONLY)
+    contexts = contexts.mapInArrow(_contexts(min_bytes), "did long, rid long, anchor long, lo long, hi long, large boolean, bytes binary")
+    # all that follows would else have the plans before it several times over, and the driver describes them after each stage
+    ensure_checkpoint_dir(rows.sparkSession)
+    contexts = contexts.checkpoint()
     small = contexts.where(~F.col("large")).select("anchor", "did", "rid", "lo", "hi", "bytes").repartition("anchor").sortWithinPartitions("anchor", "did", "rid", "lo")
     parts = small.mapInArrow(_block_factors(min_bytes, keep == "first"), "did long, rid long, lo long, hi long")
     # of the large groups, only windows whose cores are repeated are counted one by one
