@@ -164,3 +164,28 @@ def whiten(patch: Patch, dim: str, water: float = 1e-12) -> Patch:
         return np.fft.irfft(np.divide(s, size, out=np.zeros_like(s), where=size > water), len(x))
 
     return per_trace(patch, dim, f, coord.n, coord, "whiten")
+
+
+def notch(patch: Patch, dim: str, frequency: float, q: float = 30.0) -> Patch:
+    """Takes one frequency out, without phase shift; q is frequency over bandwidth."""
+    coord = patch.coords[dim]
+    if not 0 < frequency < 0.5 / abs(coord.step):
+        raise ParameterError(f"{frequency} isn't between 0 and half the sampling rate")
+    w = 2 * math.pi * frequency * abs(coord.step)
+    gain = 1 / (1 + math.tan(w / q / 2))
+    section = np.array([gain, -2 * gain * math.cos(w), gain, 1, -2 * gain * math.cos(w), 2 * gain - 1])
+    return per_trace(patch, dim, lambda x: zero_phase(x, [section]), coord.n, coord, "notch filter")
+
+
+def phase_weighted_stack(patch: Patch, stack_dim: str, dim: str, power: float = 2.0) -> Patch:
+    """Mean over stack_dim, times the modulus of the mean unit phasor to the given power."""
+    coord, n = patch.coords[dim], patch.coords[dim].n
+    both = per_trace(patch, dim, lambda x: np.concatenate([x, np.angle(analytic(x))]), 2 * n, Coord(2 * n, 0.0, 1.0), "phase")
+    data, at = F.col(f"{dim}_idx") < n, F.pmod(F.col(f"{dim}_idx"), F.lit(n))
+    rest = [c for d in patch.others(stack_dim, dim) for c in (d, f"{d}_idx")]
+    mean = F.avg(F.when(data, F.col("value")))
+    c, s = (F.avg(F.when(~data, f("value"))) for f in (F.cos, F.sin))
+    df = both.df.groupBy(*rest, at.alias("at")).agg((mean * F.pow(F.sqrt(c * c + s * s), F.lit(power))).alias("value"))
+    df = df.withColumnRenamed("at", f"{dim}_idx").withColumn(dim, F.lit(coord.start) + F.col(f"{dim}_idx") * F.lit(coord.step))
+    out = patch.new(dims=tuple(patch.others(stack_dim)), coords={k: v for k, v in patch.coords.items() if k != stack_dim})
+    return out.new(df.select(*out.keys, "value"), "phase-weighted stack")

@@ -12,7 +12,8 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fiberlake.operators import aggregating, arithmetic, kernels, selecting, spectral, spool, windows
+from fiberlake.functions import times, units
+from fiberlake.operators import aggregating, arithmetic, kernels, selecting, shaping, spectral, spool, windows
 from fiberlake.patch import Coord, Patch
 from fiberlake.streaming import streams
 
@@ -153,6 +154,22 @@ on_patch("hilbert", lambda p: spectral.hilbert(p, "time"))
 on_patch("resample", lambda p: spectral.resample(p, "time", 48))
 on_patch("whiten", lambda p: spectral.whiten(p, "time"))
 
+on_patch("notch", lambda p: spectral.notch(p, "time", 0.125))
+on_patch("phase_weighted_stack", lambda p: spectral.phase_weighted_stack(p, "distance", "time"))
+
+# mutes, alignment, correlation, units, times
+on_patch("line_mute", lambda p: shaping.line_mute(p, "time", 10, 20), "SELECT distance, time, CASE WHEN time BETWEEN 10 AND 20 THEN 0 ELSE value END AS x FROM p")
+on_patch("line_mute_invert", lambda p: shaping.line_mute(p, "time", None, 20, invert=True), "SELECT distance, time, CASE WHEN time > 20 THEN 0 ELSE value END AS x FROM p")
+on_patch("taper_range", lambda p: shaping.taper_range(p, "time", (4, 12, 40, 60)), "SELECT distance, time, value * CASE WHEN time < 4 OR time > 60 THEN 0 WHEN time < 12 THEN 0.5 - 0.5 * cos((time - 4) * pi() / 8) WHEN time <= 40 THEN 1 ELSE 0.5 - 0.5 * cos((60 - time) * pi() / 20) END AS x FROM p")
+_shifts = lambda p: p.df.select("distance", (F.col("distance") % 4).alias("shift")).distinct()
+for _m, _low, _high in (("full", 0, 66), ("same", 0, 63), ("valid", 3, 63)):
+    on_patch(f"align_{_m}", partial(lambda p, m: shaping.align_to_shift(p, "time", "distance", _shifts(p), m), m=_m), f"SELECT g.distance, g.time, p.value AS x FROM (SELECT distance, CAST(unnest(range({_low}, {_high} + 1)) AS BIGINT) AS time FROM (SELECT DISTINCT distance FROM p)) g LEFT JOIN p ON p.distance = g.distance AND p.time = g.time - g.distance % 4")
+register("concatenate", lambda s, d: shaping.concatenate([selecting.select(patch(s, d), "time", 0, 9), selecting.select(patch(s, d), "time", 50, 63)], "time").df.select("distance", "time", "time_idx", F.round("value", 6).alias("value")), f"WITH {_P} SELECT distance, time, CASE WHEN time < 10 THEN time ELSE time - 40 END AS time_idx, round(value, 6) AS value FROM p WHERE time < 10 OR time >= 50")
+on_patch("correlate", lambda p: shaping.correlate(p, "time", "distance", 7, 5), "SELECT a.distance, lag AS lag_time, sum(a.value * b.value) AS x FROM (SELECT CAST(unnest(range(-5, 6)) AS BIGINT) AS lag), p a JOIN p b ON b.distance = 7 AND a.time = b.time + lag GROUP BY 1, 2")
+on_patch("wiener", lambda p: shaping.wiener(p, "time", 5), "SELECT distance, time, CASE WHEN v < nv THEN m ELSE m + (value - m) * (1 - nv / v) END AS x FROM (SELECT *, avg(v) OVER () AS nv FROM (SELECT *, s / 5 AS m, q / 5 - (s / 5) * (s / 5) AS v FROM (SELECT *, sum(value) OVER w AS s, sum(value * value) OVER w AS q FROM p WINDOW w AS (PARTITION BY distance ORDER BY time ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))))")
+register("convert_units", lambda s, d: rounded(units.convert_units(units.set_units(patch(s, d), "degC"), "degF", distance="ft")).withColumn("distance", F.round("distance", 6)), f"WITH {_P} SELECT round(distance / 0.3048, 6) AS distance, time, round(value * 1.8 + 32, 6) AS value FROM p")
+register("time_conversion", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", times.timestamp_to_ns("ts").alias("ns"), times.seconds_to_ns("value").alias("from_seconds"), F.round(times.ns_to_seconds(times.timestamp_to_ns("ts")), 3).alias("seconds")), "SELECT event_id, epoch_us(ts) * 1000 AS ns, CAST(round(value * 1e9) AS BIGINT) AS from_seconds, round((epoch_us(ts) * 1000) / 1e9, 3) AS seconds FROM events")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Select, demean, rolling mean, standard deviation."""

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from fiberlake.errors import ChunkError, CoordError, ParameterError
-from fiberlake.operators import aggregating, kernels, selecting, spectral, spool, windows
+from fiberlake.functions import units
+from fiberlake.operators import aggregating, kernels, selecting, shaping, spectral, spool, windows
 from fiberlake.patch import Coord, Patch
 
 
@@ -104,3 +105,32 @@ def test_chunk_errors(spark):
 
 def test_glob():
     assert spool.glob_pattern("sta_[!a]?*.x") == r"(?s)^sta_[^a]..*\.x$"
+
+
+def test_notch_takes_one_frequency(spark):
+    t = np.arange(400)
+    keep, gone = np.sin(2 * np.pi * 0.02 * t), np.sin(2 * np.pi * 0.2 * t)
+    out = array(spectral.notch(make(spark, np.array([keep + gone])), "time", 0.2, q=5))
+    assert np.abs(out - keep)[60:-60].max() < 0.03
+
+
+def test_phase_weighted_stack(spark):
+    wave = np.cos(2 * np.pi * 4 * np.arange(64) / 64)
+    assert np.allclose(array(spectral.phase_weighted_stack(make(spark, np.array([wave, 3 * wave])), "distance", "time")), 2 * wave)
+    assert np.allclose(array(spectral.phase_weighted_stack(make(spark, np.array([wave, -wave])), "distance", "time")), 0)
+
+
+def test_wiener(spark, data):
+    out = array(shaping.wiener(make(spark, data), "time", 5, noise=1.0)).reshape(data.shape)
+    view = np.lib.stride_tricks.sliding_window_view(np.pad(data, ((0, 0), (2, 2))), 5, axis=1)
+    m, v = view.mean(axis=2), view.var(axis=2)
+    assert np.allclose(out, np.where(v < 1, m, m + (data - m) * (1 - 1 / v)))
+
+
+def test_units():
+    assert units.conversion("km", "m") == (1000.0, 0.0)
+    assert units.conversion("degC", "K") == (1.0, 273.15)
+    assert np.allclose(units.conversion("degF", "degC"), (5 / 9, -160 / 9))
+    for wrong in (("m", "s"), ("m", "cubit")):
+        with pytest.raises(ParameterError):
+            units.conversion(*wrong)
