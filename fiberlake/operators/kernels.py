@@ -130,3 +130,16 @@ def interpolate(patch: Patch, dim: str, values: list[float]) -> Patch:
     found = patch.df.join(table, at).groupBy(*keep, "to", "label").agg(F.sum(F.col("value") * F.col("w")).alias("value"), F.count("value").alias("n"))
     df = found.select(*keep, F.col("label").alias(dim), F.col("to").alias(at), F.when(F.col("n") == 2, F.col("value")).alias("value"))
     return patch.new(df.select(*patch.keys, "value"), "interpolate", coords=patch.coords | {dim: Coord(len(values), 0, None)})
+
+
+def median_nd(patch: Patch, widths: dict[str, int], mode: str = "reflect") -> Patch:
+    """The median of a box of odd widths over several dimensions."""
+    from fiberlake.operators.selecting import label
+
+    boxes = patch
+    for d, width in widths.items():
+        if width % 2 == 0:
+            raise ParameterError("widths are odd")
+        rows = neighbours(boxes, d, width // 2, mode).withColumn(d, label(patch.coords[d], d))
+        boxes = boxes.new(rows.select(*patch.keys, "value"))
+    return patch.new(boxes.df.groupBy(*patch.keys).agg(F.median("value").alias("value")), "median")

@@ -94,3 +94,14 @@ def wiener(patch: Patch, dim: str, size: int, noise: float | None = None) -> Pat
     level = F.lit(noise if noise is not None else df.agg(F.avg("v")).first()[0])
     value = F.when(F.col("v") < level, F.col("m")).otherwise(F.col("m") + (F.col("value") - F.col("m")) * (F.lit(1.0) - F.try_divide(level, F.col("v"))))
     return patch.new(df.select(*patch.keys, value.alias("value")), "wiener filter")
+
+
+def slope_mute(patch: Patch, slopes: tuple[float, float], dims: tuple[str, str] = ("distance", "time"), invert: bool = False) -> Patch:
+    """Zero in the wedge between two slopes from the first labels of both dimensions, lines included; outside it if invert."""
+    low, high = map(float, slopes)
+    patch.check(*dims)
+    if not 0 <= low <= high:
+        raise ParameterError("slopes are positive and ascend")
+    rise, run = (F.col(f"{d}_idx") * F.lit(abs(float(patch.coords[d].step))) for d in dims)
+    inside = (rise >= run * low) & (F.lit(True) if math.isinf(high) else rise <= run * high)
+    return patch.with_value(F.when(~inside if invert else inside, F.lit(0.0)).otherwise(F.col("value")), "slope mute")

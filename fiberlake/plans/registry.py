@@ -12,8 +12,8 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fiberlake.functions import times, units
-from fiberlake.operators import aggregating, arithmetic, kernels, selecting, shaping, spectral, spool, windows
+from fiberlake.functions import robust, times, units
+from fiberlake.operators import aggregating, arithmetic, complexes, kernels, selecting, shaping, spectral, spool, windows
 from fiberlake.patch import Coord, Patch
 from fiberlake.streaming import streams
 
@@ -170,6 +170,23 @@ on_patch("wiener", lambda p: shaping.wiener(p, "time", 5), "SELECT distance, tim
 register("convert_units", lambda s, d: rounded(units.convert_units(units.set_units(patch(s, d), "degC"), "degF", distance="ft")).withColumn("distance", F.round("distance", 6)), f"WITH {_P} SELECT round(distance / 0.3048, 6) AS distance, time, round(value * 1.8 + 32, 6) AS value FROM p")
 register("time_conversion", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", times.timestamp_to_ns("ts").alias("ns"), times.seconds_to_ns("value").alias("from_seconds"), F.round(times.ns_to_seconds(times.timestamp_to_ns("ts")), 3).alias("seconds")), "SELECT event_id, epoch_us(ts) * 1000 AS ns, CAST(round(value * 1e9) AS BIGINT) AS from_seconds, round((epoch_us(ts) * 1000) / 1e9, 3) AS seconds FROM events")
 
+# complex spectra, slopes, slant stacks
+_few = lambda p: selecting.select(p, "distance", 0, 29)
+_S = "s AS (SELECT distance, k, sum(value * cos(2 * pi() * k * time / 64)) AS re, -sum(value * sin(2 * pi() * k * time / 64)) AS im FROM p, (SELECT unnest(range(33)) AS k) GROUP BY 1, 2)"
+for _m, _f, _sql in (("real", complexes.real, "re"), ("imag", complexes.imag, "im"), ("abs", complexes.modulus, "sqrt(re * re + im * im)"), ("conj", lambda s: complexes.imag(complexes.conj(s)), "-im"), ("psd", complexes.power, "(re * re + im * im) / 64"), ("ps_db", lambda s: complexes.power(s, "PS", db=True), "10 * log10((re * re + im * im) / 4096 + 2.220446049250313e-16)")):
+    register(f"dft_{_m}", partial(lambda s, d, f: rounded(f(complexes.dft(patch(s, d), "time", half=True)), 5), f=_f), f"WITH {_P}, {_S} SELECT distance, k / 64.0::DOUBLE AS ft_time, round({_sql}, 5) + 0.0 AS value FROM s")
+on_patch("dft_angle", lambda p: complexes.angle(complexes.dft(p, "time", half=True)))
+on_patch("idft", lambda p: complexes.real(complexes.idft(complexes.dft(p, "distance", "time"))), "SELECT distance, time, value AS x FROM p")
+on_patch("stft", lambda p: complexes.modulus(complexes.stft(p, "time", 16)))
+on_patch("istft", lambda p: complexes.istft(complexes.stft(p, "time", 16), "time"), "SELECT CAST(distance AS DOUBLE) AS distance, CAST(time AS DOUBLE) AS time, value AS x FROM p")
+on_patch("slope_filter", lambda p: complexes.slope_filter(p, (0.1, 0.2, 2, 4)))
+on_patch("slope_mute", lambda p: shaping.slope_mute(p, (1.0, 4.0)), "SELECT distance, time, CASE WHEN distance BETWEEN time AND 4 * time THEN 0 ELSE value END AS x FROM p")
+on_patch("tau_p", lambda p: complexes.tau_p(_few(p), [0.8, 3.0]), "SELECT slowness, time, x FROM (SELECT s AS slowness, tau AS time, sum(CASE WHEN pos + 1 < 64 THEN (1 - (shift - floor(shift))) * a.value + (shift - floor(shift)) * b.value ELSE 0 END) AS x FROM (SELECT *, tau + CAST(floor(shift) AS BIGINT) AS pos FROM (SELECT s, tau, x, abs(s) * CASE WHEN s < 0 THEN 29 - x ELSE x END AS shift FROM (SELECT unnest([-1 / 0.8::DOUBLE, -1 / 3::DOUBLE, 1 / 3::DOUBLE, 1 / 0.8::DOUBLE]) AS s), (SELECT unnest(range(64)) AS tau), (SELECT unnest(range(30)) AS x))) g LEFT JOIN p a ON a.distance = g.x AND a.time = g.pos LEFT JOIN p b ON b.distance = g.x AND b.time = g.pos + 1 GROUP BY 1, 2)")
+on_patch("dispersion", lambda p: complexes.dispersion(_few(p), [1.0, 2.0, 5.0], band=(0.1, 0.4)))
+on_patch("median_2d", lambda p: kernels.median_nd(_few(p), {"distance": 3, "time": 3}), "SELECT distance, time, median(value) AS x FROM (SELECT o.distance, o.time, q.value FROM (SELECT distance, time, unnest(range(-1, 2)) AS dk FROM p WHERE distance < 30) o, (SELECT unnest(range(-1, 2)) AS tk), p q WHERE q.distance = CASE WHEN o.distance + dk < 0 THEN 0 WHEN o.distance + dk > 29 THEN 29 ELSE o.distance + dk END AND q.time = CASE WHEN o.time + tk < 0 THEN 0 WHEN o.time + tk > 63 THEN 63 ELSE o.time + tk END) GROUP BY 1, 2")
+register("gaps", lambda s, d: robust.gaps(s.read.parquet(f"{d}/events.parquet").select("user_id", micros("ts").alias("start")).distinct(), ["user_id"], "start", 5.0), "WITH e AS (SELECT DISTINCT user_id, epoch_us(ts) AS start FROM events), n AS (SELECT *, lead(start) OVER (PARTITION BY user_id ORDER BY start) AS following FROM e) SELECT user_id, start, following FROM (SELECT *, median(following - start) OVER (PARTITION BY user_id) AS m FROM n WHERE following IS NOT NULL) WHERE following - start > 5 * m")
+register("fence", lambda s, d: cells(s, d).groupBy("distance").agg(*(F.round(c, 6).alias(n) for c, n in zip(robust.fence("value"), ("low", "high")))), f"WITH {_P}, q AS (SELECT distance, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b, min(value) AS l, max(value) AS h FROM p GROUP BY 1) SELECT distance, round(greatest(a - 1.5 * (b - a), l), 6) AS low, round(least(b + 1.5 * (b - a), h), 6) AS high FROM q")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Select, demean, rolling mean, standard deviation."""

@@ -5,7 +5,7 @@ import pytest
 
 from fiberlake.errors import ChunkError, CoordError, ParameterError
 from fiberlake.functions import units
-from fiberlake.operators import aggregating, kernels, selecting, shaping, spectral, spool, windows
+from fiberlake.operators import aggregating, complexes, kernels, selecting, shaping, spectral, spool, windows
 from fiberlake.patch import Coord, Patch
 
 
@@ -134,3 +134,60 @@ def test_units():
     for wrong in (("m", "s"), ("m", "cubit")):
         with pytest.raises(ParameterError):
             units.conversion(*wrong)
+
+
+def test_dft_and_back(spark, data):
+    p = make(spark, data)
+    s = complexes.dft(p, "distance", "time", pad=False)
+    want = np.fft.fftshift(np.fft.fft2(data))
+    assert np.allclose(array(complexes.real(s)), want.real.ravel()) and np.allclose(array(complexes.imag(s)), want.imag.ravel())
+    assert np.allclose(array(complexes.angle(s)), np.angle(want).ravel(), atol=1e-6)
+    for half in (False, True):
+        assert np.allclose(array(complexes.real(complexes.idft(complexes.dft(p, "distance", "time", half=half)))), data.ravel())
+    assert complexes.fast_length(13) == 14 and complexes.fast_length(64) == 64
+    assert np.isclose(array(complexes.power(complexes.dft(p, "time", pad=False), "PS")).sum(), (data**2).mean(axis=1).sum())
+
+
+def test_short_time_transform(spark, data):
+    p = make(spark, data)
+    for width, overlap in ((8, 4), (9, 6), (8, 0)):
+        window = None if overlap else (1.0,) * width
+        s = complexes.stft(p, "time", width, overlap, window)
+        assert np.allclose(array(complexes.istft(s, "time")), data.ravel())
+    s = complexes.stft(p, "time", 8, 4)
+    got = {(r.distance_idx, r.time, r.ft_time_idx): r.value + 1j * r.imag for r in s.df.collect()}
+    want = np.fft.rfft(data[1, 12:20] * complexes.hann(8))
+    assert np.allclose([got[1, 16.0, k] for k in range(5)], want)
+    with pytest.raises(ParameterError):
+        complexes.istft(complexes.stft(p, "time", 8, detrend=True), "time")
+
+
+def test_slope_filter(spark):
+    d, t = np.mgrid[0:20, 0:20]
+    slow, fast = np.cos(2 * np.pi * (5 * d - 1 * t) / 20), np.cos(2 * np.pi * (1 * d - 5 * t) / 20)
+    p = make(spark, slow + fast)
+    assert np.allclose(array(complexes.slope_filter(p, (1, 2, 8, 9))), fast.ravel())
+    assert np.allclose(array(complexes.slope_filter(p, (1, 2, 8, 9), invert=True)), slow.ravel())
+    assert np.allclose(array(complexes.slope_filter(p, (1, 2, 8, 9), directional=True)), 0)
+
+
+def test_tau_p_finds_the_slowness(spark):
+    data = np.zeros((5, 40))
+    data[np.arange(5), 10 + 3 * np.arange(5)] = 1
+    out = complexes.tau_p(make(spark, data), [1 / 3, 1.0])
+    best = out.df.orderBy("value", ascending=False).first()
+    assert (best.slowness, best.time, best.value) == (3.0, 10, 5.0)
+    with pytest.raises(CoordError):
+        complexes.tau_p(out, [1.0], dims=("slowness", "time"))
+    with pytest.raises(ParameterError):
+        complexes.tau_p(make(spark, data), [2.0, 1.0])
+
+
+def test_dispersion(spark, data):
+    out = array(complexes.dispersion(make(spark, data), [1.0, 4.0], band=(0.1, 0.3)))
+    f = np.arange(40) / 39
+    live = (f >= 0.1) & (f < 0.3)
+    z = np.fft.fft(data)[:, live]
+    turn = np.arange(3)[:, None] * 2 * np.pi * f[live]
+    want = [np.abs((z / np.abs(z) * np.exp(1j * turn / c)).sum(axis=0)) / 3 for c in (1.0, 4.0)]
+    assert np.allclose(out, np.ravel(want))
