@@ -37,6 +37,12 @@ class Coord:
     def stop(self) -> float:
         return self.value(self.n - 1)
 
+    def place(self, v: float) -> float:
+        """The index of a label, whole if it is as near as the labels' own precision can tell."""
+        exact = (v - self.start) / self.step
+        slack = max(1e-10, 4 * 2.220446049250313e-16 * max(abs(v), abs(self.start)) / abs(self.step))
+        return round(exact) if abs(exact - round(exact)) <= slack else exact
+
     def index_range(self, low, high, relative: bool = False, samples: bool = False) -> tuple[int, int]:
         """Indices of a closed range of values; half-open if samples."""
         if not self.even:
@@ -48,7 +54,7 @@ class Coord:
             low, high = (None if v is None else (self.start + v if v >= 0 else self.stop + v) for v in (low, high))
         if low is not None and high is not None and low > high:
             low, high = high, low
-        to = lambda v: round((v - self.start) / self.step, 10)
+        to = self.place
         ends = sorted((0 if low is None else to(low), self.n - 1 if high is None else to(high)))
         return max(0, math.ceil(ends[0])), min(self.n - 1, math.floor(ends[1]))
 
