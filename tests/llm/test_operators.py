@@ -305,3 +305,20 @@ def test_no_query_reads_a_subset():
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11))
 
 
+
+
+def test_pipeline_links_at_the_exact_similarity(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    texts, want = [], set()
+    for k in range(40):
+        base = [word() for _ in range(64)]  # 60 shingles
+        near = base[:-6] + [word() for _ in range(6)]  # 54 of 66 are shared: 0.818
+        far = base[:-8] + [word() for _ in range(8)]  # 52 of 68: 0.765
+        other = [word() for _ in range(64)]
+        texts += [" ".join(base), " ".join(near), " ".join(other), " ".join(other[:-8] + far[-8:])]
+        want |= {4 * k, 4 * k + 2, 4 * k + 3}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == want
