@@ -322,3 +322,15 @@ def test_pipeline_links_at_the_exact_similarity(spark):
         want |= {4 * k, 4 * k + 2, 4 * k + 3}
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == want
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(12)
+    long = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(40))
+    a, b, c, d, e = (long() for _ in range(5))
+    rows = [(None, a), (None, b), (None, a.upper()), (1, c), (1, d), (1, d), (None, e), (7, e), (5, e)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(None, a.upper()), (None, b), (1, c), (1, d), (5, e)], key=str)
