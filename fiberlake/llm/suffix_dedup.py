@@ -380,8 +380,9 @@ def repeated_runs(rows: DataFrame, min_bytes: int, keep: str, kgram: int, max_gr
     # each of these feeds several branches; they hold repeated runs only
     marked = found.join(kinds, ["anchor", "context"]).select("did", "rid", "anchor", "lo", "hi", "n", "n_kinds", (F.col("first") == place).alias("is_first")).persist(StorageLevel.DISK_ONLY)
     whole = marked.where((F.col("n") > 1) & (F.lit(keep == "none") | ~F.col("is_first"))).select("did", "rid", "lo", "hi")
-    wanted = marked.where(F.col("is_first") & (F.col("n_kinds") > 1)).groupBy("did", "rid").agg(F.collect_list(F.struct("anchor", "lo", "hi", (F.col("n_kinds") > max_group).alias("large"))).alias("wanted"))
-    contexts = rows.select("did", "rid", "text").join(wanted, ["did", "rid"])
+    wanted = marked.where(F.col("is_first") & (F.col("n_kinds") > 1)).groupBy("did", "rid").agg(F.collect_set(F.struct("anchor", "lo", "hi", (F.col("n_kinds") > max_group).alias("large"))).alias("wanted"))
+    # rows that repeat id and text are one here: each would else find its passages in the others
+    contexts = rows.select("did", "rid", "text").join(wanted, ["did", "rid"]).dropDuplicates(["did", "rid"])
     contexts = contexts.mapInArrow(_contexts(min_bytes), "did long, rid long, anchor long, lo long, hi long, large boolean, bytes binary")
     # all that follows would else have the plans before it several times over, and the driver describes them after each stage
     ensure_checkpoint_dir(rows.sparkSession)

@@ -334,3 +334,14 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
     assert sorted(got, key=str) == sorted([(None, a.upper()), (None, b), (1, c), (1, d), (5, e)], key=str)
+
+
+def test_suffix_dedup_of_rows_repeated_id_and_all(spark):
+    rnd = random.Random(13)
+    some = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = some(90)
+    first, second = some(50) + passage + some(50), some(50) + passage + some(50)
+    docs = spark.createDataFrame([(0, first), (0, first), (1, second)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_removed, r.text) for r in suffix_dedup(docs, min_bytes=40, keep="first").collect())
+    assert got[:2] == [(0, 0, first)] * 2
+    assert got[2][1] >= 90 and passage not in got[2][2]
