@@ -148,6 +148,7 @@ on_patch("interp_linear", lambda p: kernels.interpolate(p, "time", [0.5, 10.25,
 
 # transforms
 on_patch("dft_naive", lambda p: spectral.amplitude_spectrum(selecting.select(p, "distance", 0, 49), "time"), "SELECT distance, k / 64.0::DOUBLE AS ft_time, sqrt(pow(sum(value * cos(2 * pi() * k * time / 64)), 2) + pow(sum(value * sin(2 * pi() * k * time / 64)), 2)) AS x FROM p, (SELECT unnest(range(33)) AS k) WHERE distance < 50 GROUP BY 1, 2")
+on_patch("dft_naive_all", lambda p: spectral.amplitude_spectrum(p, "time"), "SELECT distance, k / 64.0::DOUBLE AS ft_time, sqrt(pow(sum(value * cos(2 * pi() * k * time / 64)), 2) + pow(sum(value * sin(2 * pi() * k * time / 64)), 2)) AS x FROM p, (SELECT unnest(range(33)) AS k) GROUP BY 1, 2")
 on_patch("pass_filter", lambda p: spectral.pass_filter(p, "time", 0.05, 0.2))
 on_patch("envelope", lambda p: spectral.envelope(p, "time"))
 on_patch("hilbert", lambda p: spectral.hilbert(p, "time"))
@@ -182,8 +183,10 @@ on_patch("istft", lambda p: complexes.istft(complexes.stft(p, "time", 16), "time
 on_patch("slope_filter", lambda p: complexes.slope_filter(p, (0.1, 0.2, 2, 4)))
 on_patch("slope_mute", lambda p: shaping.slope_mute(p, (1.0, 4.0)), "SELECT distance, time, CASE WHEN distance BETWEEN time AND 4 * time THEN 0 ELSE value END AS x FROM p")
 on_patch("tau_p", lambda p: complexes.tau_p(_few(p), [0.8, 3.0]), "SELECT slowness, time, x FROM (SELECT s AS slowness, tau AS time, sum(CASE WHEN pos + 1 < 64 THEN (1 - (shift - floor(shift))) * a.value + (shift - floor(shift)) * b.value ELSE 0 END) AS x FROM (SELECT *, tau + CAST(floor(shift) AS BIGINT) AS pos FROM (SELECT s, tau, x, abs(s) * CASE WHEN s < 0 THEN 29 - x ELSE x END AS shift FROM (SELECT unnest([-1 / 0.8::DOUBLE, -1 / 3::DOUBLE, 1 / 3::DOUBLE, 1 / 0.8::DOUBLE]) AS s), (SELECT unnest(range(64)) AS tau), (SELECT unnest(range(30)) AS x))) g LEFT JOIN p a ON a.distance = g.x AND a.time = g.pos LEFT JOIN p b ON b.distance = g.x AND b.time = g.pos + 1 GROUP BY 1, 2)")
-on_patch("dispersion", lambda p: complexes.dispersion(_few(p), [1.0, 2.0, 5.0], band=(0.1, 0.4)))
+on_patch("tau_p_all", lambda p: complexes.tau_p(p, [0.8, 3.0]), "SELECT slowness, time, x FROM (SELECT s AS slowness, tau AS time, sum(CASE WHEN pos + 1 < 64 THEN (1 - (shift - floor(shift))) * a.value + (shift - floor(shift)) * b.value ELSE 0 END) AS x FROM (SELECT *, tau + CAST(floor(shift) AS BIGINT) AS pos FROM (SELECT s, tau, x, abs(s) * CASE WHEN s < 0 THEN n - 1 - x ELSE x END AS shift FROM (SELECT unnest([-1 / 0.8::DOUBLE, -1 / 3::DOUBLE, 1 / 3::DOUBLE, 1 / 0.8::DOUBLE]) AS s), (SELECT unnest(range(64)) AS tau), (SELECT DISTINCT distance AS x FROM p), (SELECT count(DISTINCT distance) AS n FROM p))) g LEFT JOIN p a ON a.distance = g.x AND a.time = g.pos LEFT JOIN p b ON b.distance = g.x AND b.time = g.pos + 1 GROUP BY 1, 2)")
+on_patch("dispersion", lambda p: complexes.dispersion(p, [1.0, 2.0, 5.0], band=(0.1, 0.4)))
 on_patch("median_2d", lambda p: kernels.median_nd(_few(p), {"distance": 3, "time": 3}), "SELECT distance, time, median(value) AS x FROM (SELECT o.distance, o.time, q.value FROM (SELECT distance, time, unnest(range(-1, 2)) AS dk FROM p WHERE distance < 30) o, (SELECT unnest(range(-1, 2)) AS tk), p q WHERE q.distance = CASE WHEN o.distance + dk < 0 THEN 0 WHEN o.distance + dk > 29 THEN 29 ELSE o.distance + dk END AND q.time = CASE WHEN o.time + tk < 0 THEN 0 WHEN o.time + tk > 63 THEN 63 ELSE o.time + tk END) GROUP BY 1, 2")
+on_patch("median_2d_all", lambda p: kernels.median_nd(p, {"distance": 3, "time": 3}), "SELECT distance, time, median(value) AS x FROM (SELECT o.distance, o.time, q.value FROM (SELECT distance, time, unnest(range(-1, 2)) AS dk FROM p) o, (SELECT unnest(range(-1, 2)) AS tk), (SELECT max(distance) AS m FROM p), p q WHERE q.distance = CASE WHEN o.distance + dk < 0 THEN 0 WHEN o.distance + dk > m THEN m ELSE o.distance + dk END AND q.time = CASE WHEN o.time + tk < 0 THEN 0 WHEN o.time + tk > 63 THEN 63 ELSE o.time + tk END) GROUP BY 1, 2")
 register("gaps", lambda s, d: robust.gaps(s.read.parquet(f"{d}/events.parquet").select("user_id", micros("ts").alias("start")).distinct(), ["user_id"], "start", 5.0), "WITH e AS (SELECT DISTINCT user_id, epoch_us(ts) AS start FROM events), n AS (SELECT *, lead(start) OVER (PARTITION BY user_id ORDER BY start) AS following FROM e) SELECT user_id, start, following FROM (SELECT *, median(following - start) OVER (PARTITION BY user_id) AS m FROM n WHERE following IS NOT NULL) WHERE following - start > 5 * m")
 register("fence", lambda s, d: cells(s, d).groupBy("distance").agg(*(F.round(c, 6).alias(n) for c, n in zip(robust.fence("value"), ("low", "high")))), f"WITH {_P}, q AS (SELECT distance, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b, min(value) AS l, max(value) AS h FROM p GROUP BY 1) SELECT distance, round(greatest(a - 1.5 * (b - a), l), 6) AS low, round(least(b + 1.5 * (b - a), h), 6) AS high FROM q")
 
