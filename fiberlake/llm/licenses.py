@@ -2,9 +2,10 @@
 
 A text's words are aligned with each template: words that are unique in both are anchors, their longest increasing
 subsequence is kept, and the gaps between are aligned in the same way; equal words at a gap's ends match directly.
-Coverage is the share of a template's words that are matched.  Alignment runs over windows around hint words (license,
-copyright, permission ...), as wide as the template needs; windows that touch are one.  A license is reported from
-`least` coverage on; of equal coverage the longer template wins, then the name.
+Coverage is the share of a template's words that are matched.  Alignment runs over spans (half as long again as the
+template) that hold enough of the template's words; where words repeat so that nothing is unique, a longest common
+subsequence takes its place.  Every license with `least` coverage is reported unless a better one overlaps it; of
+equal coverage the longer template wins, then the name.
 
 Edge cases: null and empty texts have no license; repeated rows are scanned alike; a null doc_id stays null; whole
 texts are scanned, whatever their length; extra columns are ignored.
@@ -40,7 +41,6 @@ TEMPLATES = {
     "All rights reserved": "All rights reserved",
 }
 _WORD = re.compile(r"[^\W_]+")
-_HINT = re.compile(r"licen[sc]|copyright|permission|redistribut|reserved")
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -87,52 +87,98 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def scan_text(text: str, templates: dict[str, list[str]], least: float) -> tuple[str, float, int, int] | None:
-    """(license, coverage, first word, last word) of the best license."""
-    low = text.lower()
-    if not _HINT.search(low):
-        return None
-    words = _WORD.findall(low)
-    hints = [i for i, w in enumerate(words) if _HINT.match(w) or "licen" in w]
-    best = None
+def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence, for windows without unique words."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for k in range(len(b) - 1, -1, -1):
+            best[i][k] = best[i + 1][k + 1] + 1 if a[i] == b[k] else max(best[i + 1][k], best[i][k + 1])
+    out, i, k = [], 0, 0
+    while i < len(a) and k < len(b):
+        if a[i] == b[k]:
+            out.append((i, k))
+            i, k = i + 1, k + 1
+        elif best[i + 1][k] >= best[i][k + 1]:
+            i += 1
+        else:
+            k += 1
+    return out
+
+
+def candidates(words: list[str], template: Counter, size: int, span: int, need: int) -> list[int]:
+    """Starts of spans with at least `need` of the template's words, each counted as often as the template has it."""
+    hits = [i for i, w in enumerate(words) if w in template]
+    out, held, total, end = [], Counter(), 0, 0
+    for start in hits:
+        while end < len(hits) and hits[end] < start + span:
+            w = words[hits[end]]
+            held[w] += 1
+            total += held[w] <= template[w]
+            end += 1
+        if total >= need:
+            out.append(start)
+        w = words[start]
+        total -= held[w] <= template[w]
+        held[w] -= 1
+    return out
+
+
+def matches(words: list[str], template: list[str], least: float) -> list[tuple[float, int, int]]:
+    """(coverage, first word, last word) of every place of a template, left to right."""
+    size, counts = len(template), Counter(template)
+    span, need = size + size // 2 + 2, next(n for n in range(size + 1) if n / size >= least)
+    starts, out, at = candidates(words, counts, size, span, need), [], 0
+    while at < len(starts):
+        x = starts[at]
+        group = [s for s in starts[at : at + span] if s < x + span]
+        best = None
+        for how in (align, common):
+            for s in group if how is align else group[:1]:
+                found = how(words[s : s + span], template)
+                if len(found) >= need:
+                    x, y = s + found[0][0], s + found[-1][0]
+                    # of the most words, the tightest
+                    if best is None or (len(found), x - y) > (best[0], best[1] - best[2]):
+                        best = (len(found), x, y)
+            if best:
+                break
+        if best:
+            out.append((best[0] / size, best[1], best[2]))
+        after = best[2] if best else starts[at]
+        while at < len(starts) and starts[at] <= after:
+            at += 1
+    return out
+
+
+def scan_text(text: str, templates: dict[str, list[str]], least: float) -> list[tuple[str, float, int, int]]:
+    """(license, coverage, first word, last word) of every license, the best first; none overlap."""
+    words = _WORD.findall(text.lower())
+    known, found = set(words), []
     for name, template in templates.items():
-        wide = len(template) + 8
-        windows: list[list[int]] = []
-        for h in hints:
-            if windows and h - wide <= windows[-1][1]:
-                windows[-1][1] = min(len(words), h + wide)
-            else:
-                windows.append([max(0, h - wide), min(len(words), h + wide)])
-        for x, y in windows:
-            matched = densest(align(words[x:y], template), len(template))
-            cover = len(matched) / len(template)
-            key = (cover, len(template), name, -x)
-            if matched and cover >= least and (best is None or key > best[0]):
-                best = (key, (name, round(cover, 6), x + matched[0][0], x + matched[-1][0]))
-    return best and best[1]
-
-
-def densest(matched: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
-    """The matches within the span of words (half as long again as the template) that has the most."""
-    span, best, start = size + size // 2 + 2, [], 0
-    for end in range(len(matched)):
-        while matched[end][0] - matched[start][0] >= span:
-            start += 1
-        if end - start + 1 > len(best):
-            best = matched[start : end + 1]
-    return best
+        # each word that the text lacks is one that cannot be matched
+        if (len(template) - sum(w not in known for w in template)) / len(template) >= least:
+            found += [((cover, len(template), name, -x), (name, round(cover, 6), x, y)) for cover, x, y in matches(words, template, least)]
+    out: list[tuple[str, float, int, int]] = []
+    for _, m in sorted(found, reverse=True):
+        if all(m[3] < o[2] or m[2] > o[3] for o in out):
+            out.append(m)
+    return out
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.8) -> DataFrame:
-    """doc_id, license (null if none), coverage, first_word, last_word."""
+    """doc_id, license (the best; null if none), coverage, first_word, last_word, licenses (all, the best first)."""
     forms = {n: _WORD.findall(t.lower()) for n, t in templates.items()}
 
+    names, kinds = ["license", "coverage", "first_word", "last_word"], [pa.string(), pa.float64(), pa.int64(), pa.int64()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 22):
-                found = [scan_text(t, forms, least) or (None, 0.0, None, None) for t in part.column("text").to_pylist()]
-                columns = [pa.array(c, t) for c, t in zip(zip(*found), [pa.string(), pa.float64(), pa.int64(), pa.int64()])]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "license", "coverage", "first_word", "last_word"])
+                every = [scan_text(t, forms, least) for t in part.column("text").to_pylist()]
+                found = [m[0] if m else (None, 0.0, None, None) for m in every]
+                columns = [pa.array(c, t) for c, t in zip(zip(*found), kinds)]
+                columns.append(pa.array([[dict(zip(names, x)) for x in m] for m in every], pa.list_(pa.struct(list(zip(names, kinds))))))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", *names, "licenses"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, license string, coverage double, first_word long, last_word long")
+    return rows.mapInArrow(run, "doc_id long, license string, coverage double, first_word long, last_word long, licenses array<struct<license:string,coverage:double,first_word:long,last_word:long>>")

@@ -345,3 +345,33 @@ def test_suffix_dedup_of_rows_repeated_id_and_all(spark):
     got = sorted((r.doc_id, r.n_removed, r.text) for r in suffix_dedup(docs, min_bytes=40, keep="first").collect())
     assert got[:2] == [(0, 0, first)] * 2
     assert got[2][1] >= 90 and passage not in got[2][2]
+
+
+def test_licenses_that_stand_twice_or_have_no_hint_word(spark):
+    mit = TEMPLATES["MIT"]
+    texts = ["x Released under the MIT License y Released under the MIT License z", "x " + mit + " y " + mit + " z", "it is released under the MIT terms", "nothing here"]
+    got = [[(m.license, m.coverage) for m in r.licenses] for r in license_scan(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [[("MIT (notice)", 1.0)] * 2, [("MIT", 1.0)] * 2, [("MIT (notice)", 0.8)], []]
+
+
+def test_links_of_a_tile():
+    import numpy as np
+    from fractions import Fraction
+
+    from fiberlake.llm.near_duplicates import similar, tile_links
+
+    rnd = random.Random(14)
+    base = rnd.sample(range(10**6), 60)
+    sets = [np.unique(np.array([v if rnd.random() < 0.93 else rnd.randrange(10**6) for v in base], np.uint64)) for _ in range(60)]
+    share, label = Fraction(4, 5), list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if similar(sets[i], sets[j], share):
+                label = [label[i] if x == label[j] else x for x in label]
+    links = tile_links(np.arange(60), sets, share)
+    got = list(range(60))
+    for i, j in links:
+        assert similar(sets[i], sets[j], share)
+        got = [got[i] if x == got[j] else x for x in got]
+    same = lambda x: {frozenset(k for k in range(60) if x[k] == v) for v in x}
+    assert same(got) == same(label) and len(same(label)) > 1
