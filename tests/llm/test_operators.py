@@ -354,6 +354,16 @@ def test_licenses_that_stand_twice_or_have_no_hint_word(spark):
     assert got == [[("MIT (notice)", 1.0)] * 2, [("MIT", 1.0)] * 2, [("MIT (notice)", 0.8)], []]
 
 
+def test_every_license_of_a_text(spark):
+    names = sorted(TEMPLATES)
+    text = " filler words between them ".join(TEMPLATES[n] for n in names)
+    row = license_scan(frame(spark, [text])).collect()[0]
+    assert {m.license for m in row.licenses if m.coverage == 1} == set(names)
+    spans = sorted((m.first_word, m.last_word) for m in row.licenses)
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    assert (row.license, row.coverage) == (row.licenses[0].license, 1.0)
+
+
 def test_links_of_a_tile():
     import numpy as np
     from fractions import Fraction
