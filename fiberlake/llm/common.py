@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import pyarrow as pa
@@ -32,10 +33,16 @@ def keyed(docs: DataFrame, *extra: Column) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names its shared folder in spark.checkpoint.dir; only where that is unset (tests) a local one is made."""
+    """The cluster names its shared folder in spark.checkpoint.dir.
+
+    Only a local session (one machine, as in tests) gets a folder of its own where that is unset; on a cluster that is
+    an error, since executors share no temporary folder.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="fiberlake-checkpoint-"))
 
 

@@ -30,7 +30,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(table(spark, sf_dir, "documents"), min_bytes=400, keep="none", texts=False)
+    return suffix_dedup(table(spark, sf_dir, "documents"), min_bytes=400, keep="none")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,14 +7,17 @@ How it spreads out.  A window of `min_bytes` is represented by the smallest hash
 equal windows have equal anchors at equal offsets.  Consecutive windows with the same anchor form a run; the bytes
 that the run's windows cover are its context.
 
-1. Every run emits (anchor, digest of its context).  Counts by both, combined before the shuffle, settle all runs
-   whose whole context is repeated.
+1. Every run emits (anchor, digest of its context).  Equal contexts are aggregated before the shuffle into one, with a
+   count and its first place: to each of its copies the one before is a previous factor as long as the context.
 2. Contexts that share an anchor but differ (the borders of copies) send one copy of their bytes to their anchor's
    group.  Groups are packed into blocks of bounded size; each block gets a suffix array (prefix doubling), capped
-   LCPs and the longest-previous-factor array from previous and next smaller positions.
-3. A group of more than `max_group` different contexts, or a MB of them, (a passage that a large share of all documents holds, in as
-   many surroundings) is never gathered: its windows are counted one by one, combined before the shuffle.  Windows are
-   left out whose core, the bytes that all windows at about their distance from the anchor have, occurs once.
+   LCPs and the longest-previous-factor array from previous and next smaller positions (for keep="none", that of
+   larger positions too: the first of several has a later match only).
+3. A group of more than `max_group` different contexts, or a MB of them, (a passage that a large share of all documents
+   holds, in as many surroundings) fits into no block, so its suffixes are dealt out before they are compared: only
+   suffixes with the same first `min_bytes` bytes can have a factor of that length, and they meet by a digest of these
+   bytes, aggregated before the shuffle, with the smallest position of the class.  Left out are windows whose core, the
+   bytes that all windows at about their distance from the anchor have, occurs once.
 
 Edge cases: a null text is empty; texts shorter than `min_bytes` are kept whole; a repeated row is another document;
 rows that repeat both doc_id and text get the same answer, and count as one place for keep="first"; a null doc_id
@@ -177,9 +180,10 @@ def suffix_ranks(data: np.ndarray, ends: np.ndarray, length: int) -> list[np.nda
 
 
 def longest_previous_factors(data: np.ndarray, ends: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For the suffixes at `starts` (ascending): the longest match at an earlier one, and at any other one.
+    """For the suffixes at `starts` (ascending): the longest match at an earlier one, and at a later one.
 
-    Lengths are exact up to `length`, and at least `length` where they are longer.
+    Lengths are exact up to `length`, and at least `length` where they are longer.  The first array comes from the
+    previous and next smaller positions in suffix order, the second from the larger ones.
     """
     levels = suffix_ranks(data, ends, length)
     order = np.argsort(levels[-1][starts], kind="stable")
@@ -202,11 +206,10 @@ def longest_previous_factors(data: np.ndarray, ends: np.ndarray, starts: np.ndar
                 break
             got[same] += 1
         lcp[1:-1] = got
-    earlier = np.maximum(_smaller(sa, lcp[:-1]), _smaller(sa[::-1], lcp[1:][::-1])[::-1])
-    anywhere = np.maximum(lcp[:-1], lcp[1:])
-    out, other = np.zeros(len(sa), np.int64), np.zeros(len(sa), np.int64)
-    out[order], other[order] = earlier, anywhere
-    return out, other
+    previous, following = np.zeros(len(sa), np.int64), np.zeros(len(sa), np.int64)
+    for out, place in ((previous, sa), (following, -sa)):
+        out[order] = np.maximum(_smaller(place, lcp[:-1]), _smaller(place[::-1], lcp[1:][::-1])[::-1])
+    return previous, following
 
 
 def _smaller(sa: np.ndarray, lcp: np.ndarray) -> np.ndarray:
@@ -257,8 +260,8 @@ def _block_factors(size: int, first: bool, block_bytes: int = 1 << 17):
         ends = np.repeat(stops, sizes)
         windows = sizes - size + 1
         starts = np.repeat(begins - np.concatenate([[0], windows.cumsum()[:-1]]), windows) + np.arange(windows.sum())
-        previous, anywhere = longest_previous_factors(data, ends, starts, size)
-        hit = (previous if first else anywhere) >= size
+        previous, following = longest_previous_factors(data, ends, starts, size)
+        hit = (previous if first else np.maximum(previous, following)) >= size
         if not hit.any():
             return None
         owner = np.repeat(np.arange(len(rows)), windows)

@@ -68,7 +68,7 @@ def test_longest_previous_factors():
     data = rng.integers(0, 2, 120).astype(np.uint8)
     ends = np.repeat([50, 120], [50, 70])
     starts = np.arange(120)
-    previous, anywhere = longest_previous_factors(data, ends, starts, 16)
+    previous, following = longest_previous_factors(data, ends, starts, 16)
 
     def common(i, j):
         n = 0
@@ -78,7 +78,22 @@ def test_longest_previous_factors():
 
     for i in range(120):
         assert min(previous[i], 16) == max([common(i, j) for j in range(i)], default=0)
-        assert min(anywhere[i], 16) == max(common(i, j) for j in range(120) if j != i)
+        assert min(following[i], 16) == max([common(i, j) for j in range(i + 1, 120)], default=0)
+
+
+def test_suffix_dedup_query_against_every_window(spark, tmp_path):
+    """The production length over texts beyond a piece, repeated rows, hot passages and odd rows."""
+    from fiberlake.llm.queries import op3_suffix_dedup
+
+    rnd = random.Random(21)
+    some = lambda n: "".join(rnd.choice("abcdefghij é") for _ in range(n))
+    passages = [some(n) for n in (300, 380, 420, 900, 2500)]
+    texts = [some(rnd.randrange(300)) + rnd.choice(passages) + some(rnd.randrange(300)) for _ in range(120)]
+    long = some(1 << 20) + passages[3] + some(200_000) + passages[4] + some(900)
+    texts += [None, "", "y" * 399, "z" * 400, "w" * 401, texts[3], texts[3], passages[2], long, long[1_000_000:]]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r)[:5] for r in op3_suffix_dedup(spark, str(tmp_path)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
+    assert got == removed(texts, 400, "none")
 
 
 def test_suffix_dedup_of_nothing(spark):
