@@ -231,6 +231,48 @@ def test_decode():
     assert model.restore("h0rid!!") == "horid"
 
 
+def test_decoder_against_all_paths():
+    """Every way to keep, replace or drop the characters of a word, scored one by one."""
+    from fiberlake.llm.toxicity import LEET
+
+    rnd = random.Random(8)
+    letters = "abeilost"
+    model = CharModel({a + b: -rnd.random() * 6 for a in "^" + letters for b in letters + "$" if rnd.random() < 0.8})
+
+    def paths(word, at, last):
+        """(score, letters) of every way through word from `at` on, after the letter `last`."""
+        if at == len(word):
+            yield model.step(last, "$"), ""
+            return
+        ch, before = word[at], word[at - 1] if at else ""
+        choices = [(ch, -0.1)] if ch.isalpha() else [(x, -0.7) for x in LEET.get(ch, "")]
+        for x, cost in choices:
+            for s, rest in paths(word, at + 1, x):
+                yield s + cost + model.step(last, x), x + rest
+        skip = -0.7 if not ch.isalnum() else -1.5 if ch == before == last else None if choices else -4.0
+        if skip is not None:
+            for s, rest in paths(word, at + 1, last):
+                yield s + skip, rest
+
+    for _ in range(300):
+        word = "".join(rnd.choice("abils01345@$!|.-2") for _ in range(rnd.randrange(1, 8)))
+        every = list(paths(word, 0, "^"))
+        best, got = max(s for s, _ in every), model.decode(word)
+        assert max(s for s, x in every if x == got) >= best - 1e-9
+
+
+def test_toxicity_of_odd_tables(spark):
+    shape = "doc_id long, text string, score string, words string"
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(None, 1)], "doc_id long, toxic int")
+    assert toxicity(spark.createDataFrame([], shape), labels).count() == 0
+    rows = [(i, ("good river " if i % 2 == 0 else "awful river ") + f"n{i}", "x", "y") for i in range(50)]
+    rows += [rows[7], (None, None, None, None), (60, "", None, None), (61, "awful " * 300_000, None, None), (62, "中文 0字 字字字", None, None), (63, "x\ud7ff\U0001d11e", None, None)]
+    got = toxicity(spark.createDataFrame(rows, shape), labels).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    by = {r.doc_id: r for r in got}
+    assert by[7].predicted == 1 and by[8].predicted == 0 and by[None].held_out and len({r.score for r in got if r.doc_id == 7}) == 1
+
+
 def test_alignment():
     assert increasing([3, 1, 2, 5, 4]) in ([1, 2, 3], [1, 2, 4])
     assert align("a b c d".split(), "x b c y".split()) == [(1, 1), (2, 2)]
