@@ -6,8 +6,12 @@ number of blocks does.  The best of each pair of blocks are merged by rank.
 
 Edge cases: vectors that are null, or hold null, NaN or infinite components, and rows without vec_id take no part; so
 do zero vectors in the nearest-neighbour search.  Only vectors of the query's length are its candidates.  Rows that
-share the query's vec_id are the query's own.  Repeated rows appear as often as they occur.  Fewer candidates than k:
-all of them.  Extra columns are ignored; an empty table gives no rows.
+share the query's vec_id are the query's own.  Repeated candidates appear as often as they occur; a repeated query row
+is one query, and rows of one vec_id with different vectors are queries of their own, each with ranks from 1.  Fewer
+candidates than k: all of them.  Extra columns are ignored; an empty table gives no rows.
+
+The work is the number of queries times that of rows, as an exact search of all rows is; what is shuffled is each row
+once for every block of queries, so the blocks of queries are as large as a task's memory allows.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_RESULT = "query_id long, vec_id long, score {}"
+_RESULT = "query_id long, query_key long, vec_id long, score {}"
 
 
 def usable(vectors: DataFrame, zero: bool) -> DataFrame:
@@ -32,7 +36,7 @@ def usable(vectors: DataFrame, zero: bool) -> DataFrame:
 
 
 def block_join(rows: DataFrame, is_query: Column, solve, score: str, block_rows: int, query_rows: int) -> DataFrame:
-    """solve(candidate ids, matrix, query ids, matrix) -> (query_id, vec_id, score) for each pair of blocks."""
+    """solve(candidate ids, matrix, query ids, matrix) -> (place of the query, vec_id, score) for each pair of blocks."""
     sizes = rows.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
     n_blocks, q_blocks = max(1, -(-sizes.n // block_rows)), max(1, -(-sizes.q // query_rows))
 
@@ -44,21 +48,23 @@ def block_join(rows: DataFrame, is_query: Column, solve, score: str, block_rows:
 
     dim = F.size("v").alias("dim")
     left = rows.select("vec_id", "v", dim, dealt(n_blocks).alias("cb"), every(q_blocks).alias("qb"))
-    right = rows.where(is_query).select("vec_id", "v", dim, dealt(q_blocks).alias("qb"), every(n_blocks).alias("cb"))
+    queries = rows.where(is_query).select("vec_id", F.xxhash64("v").alias("query_key"), "v").dropDuplicates(["vec_id", "query_key"])
+    right = queries.select("vec_id", "query_key", "v", dim, dealt(q_blocks).alias("qb"), every(n_blocks).alias("cb"))
 
     def pair(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        names = ["query_id", "query_key", "vec_id", "score"]
         if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        a = a.sort_values("vec_id", kind="stable")
-        found = solve(a["vec_id"].to_numpy(), np.stack(a["v"].to_numpy()), b["vec_id"].to_numpy(), np.stack(b["v"].to_numpy()))
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+            return pd.DataFrame({n: [] for n in names})
+        a, ids, keys = a.sort_values("vec_id", kind="stable"), b["vec_id"].to_numpy(), b["query_key"].to_numpy()
+        found = solve(a["vec_id"].to_numpy(), np.stack(a["v"].to_numpy()), ids, np.stack(b["v"].to_numpy()))
+        return pd.DataFrame([(ids[j], keys[j], i, s) for j, i, s in found], columns=names)
 
     keys = ["dim", "cb", "qb"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, _RESULT.format(score))
 
 
 def ranked(found: DataFrame, k: int, best_first: Column) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(best_first, F.col("vec_id"))
+    order = Window.partitionBy("query_id", "query_key").orderBy(best_first, F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -115,7 +121,7 @@ def exact_topk(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256
             matrix, queries = matrix.astype(np.float32), queries.astype(np.float32)
         order = np.argsort(matrix.astype(float), axis=0, kind="stable").astype(np.int32)
         edge = 2**63 - 1
-        return [(q, i, max(-edge, min(edge, int(s)))) for q, v in zip(query_ids.tolist(), queries) for s, i in threshold_topk(ids, matrix, v, k, order, q)]
+        return [(j, i, max(-edge, min(edge, int(s)))) for j, (q, v) in enumerate(zip(query_ids.tolist(), queries)) for s, i in threshold_topk(ids, matrix, v, k, order, q)]
 
     rows = usable(vectors, zero=True).select("vec_id", F.transform("v", lambda x: floor_of(x, scale)).alias("v"))
     found = block_join(rows, F.col("vec_id") % every == 0, solve, "long", block_rows, query_rows)
@@ -138,7 +144,10 @@ def quantised(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 
 def nearest(ids: np.ndarray, matrix: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, tile: int = 2048) -> list[tuple]:
-    """(query, id, distance) of the k nearest: int8 product tiles bound distances, survivors are measured, heaps merge."""
+    """(place of the query, id, distance) of the k nearest: int8 product tiles bound distances, survivors are measured, heaps merge.
+
+    A distance adds its squares in the order of the components.
+    """
     wide = np.float32 if matrix.shape[1] * 127 * 127 < 2**24 else np.float64
     qc, qs, qn, qe = quantised(queries)
     qq, q_codes = (queries**2).sum(axis=1), qc.astype(wide)
@@ -165,14 +174,14 @@ def nearest(ids: np.ndarray, matrix: np.ndarray, query_ids: np.ndarray, queries:
                     limit = min(limit, np.partition(high[j], k - 1)[k - 1])
                 left = np.flatnonzero((low[j] <= limit) & ~own[j])
                 if len(left):
-                    gap = np.sqrt(((part[left] - queries[s + j]) ** 2).sum(axis=1))
+                    gap = np.sqrt(((part[left] - queries[s + j]) ** 2).cumsum(axis=1)[:, -1])
                     best = np.lexsort((names[left], gap))[:k]
                     for d, i in zip((-gap[best]).tolist(), (-names[left][best]).tolist()):
                         if len(heap) < k:
                             heapq.heappush(heap, (d, i))
                         elif (d, i) > heap[0]:
                             heapq.heapreplace(heap, (d, i))
-    return [(q, -i, -d) for q, heap in zip(query_ids.tolist(), heaps) for d, i in sorted(heap, reverse=True)]
+    return [(j, -i, -d) for j, heap in enumerate(heaps) for d, i in sorted(heap, reverse=True)]
 
 
 def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, block_rows: int = 16384, query_rows: int = 4096) -> DataFrame:

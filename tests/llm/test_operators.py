@@ -197,11 +197,27 @@ def test_searches(spark):
     got = [tuple(r) for r in nearest_neighbours(e, block_rows=60).orderBy("query_id", "rank").collect()]
     want = []
     for q in (0, 100, 200):
-        best = sorted((float(np.sqrt(((v - whole[q]) ** 2).sum())), i) for i, v in whole.items() if i not in (q, 303))[:10]
+        best = sorted((float(np.sqrt(((v - whole[q]) ** 2).cumsum()[-1])), i) for i, v in whole.items() if i not in (q, 303))[:10]
         want += [(q, k + 1, i, s) for k, (s, i) in enumerate(best)]
     assert got == want
 
 
+def test_searches_with_repeated_rows(spark):
+    """A repeated query row is one query; another vector of the same vec_id is a query of its own; candidates repeat."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(-4, 5, size=(130, 4)).astype(float)
+    rows = [(i, v.tolist(), i) for i, v in enumerate(x)] + [(0, x[0].tolist(), 9), (0, x[0].tolist(), 8), (100, x[7].tolist(), 7), (5, x[5].tolist(), 6)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
+    for search, k, every, score in ((exact_topk, 5, 50, lambda q, v: int(np.floor(256 * q) @ np.floor(256 * v))), (nearest_neighbours, 10, 100, lambda q, v: float(np.sqrt(((v - q) ** 2).cumsum()[-1])))):
+        sign = -1 if search is exact_topk else 1
+        want = []
+        for q, v in {(i, tuple(v)) for i, v, _ in rows if i % every == 0 and (any(v) or sign < 0)}:
+            best = sorted((sign * score(np.array(v), np.array(w)), i) for i, w, _ in rows if i != q and (any(w) or sign < 0))[:k]
+            want += [(q, r + 1, i, sign * s) for r, (s, i) in enumerate(best)]
+        assert sorted(tuple(r) for r in search(e, block_rows=40, query_rows=2).collect()) == sorted(want)
+        assert search(e.limit(0)).count() == 0
+
+
 def test_toxicity(spark):
     rnd = random.Random(5)
     plain = ["river", "stone", "cloud", "green", "walk", "house", "lamp", "paper", "tree", "grass", "dune", "coal"]
@@ -356,12 +372,21 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(left)
 
 
-def test_no_query_reads_a_subset():
+def test_there_is_a_query_for_each_operator():
     from fiberlake.llm.queries import QUERIES
 
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11))
 
 
+def test_queries_against_their_sql(spark):
+    from compare import differences, views
+
+    from fiberlake.llm.queries import ORACLE_SQL, QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    for name, sql in ORACLE_SQL.items():
+        assert differences(spark, views(sf), QUERIES[name], sql, sf) is None
+
 
 
 def test_pipeline_links_at_the_exact_similarity(spark):
