@@ -3,14 +3,17 @@
 Messages may hold <tool_call>{"id", "name", "arguments"}</tool_call> and <tool_result>{"id", "content"}</tool_result>.
 Calls and results are hash-joined by conversation and identifier; arguments are validated against the schema of the
 tool; a call whose arguments mention {"$result": id} depends on that call.  Calls are ordered topologically: `depth` is
-0 without dependencies, else one more than the deepest of them; a result has its call's depth; calls in a cycle have
-none.  Every message, call and result becomes one row of canonical JSON (sorted keys, no spaces, UTF-8).
-
-Nothing gathers a conversation: rows carry (conv_id, depth, turn, place), which is their order.
-
-Edge cases: null texts are empty, null roles "unknown"; null conv_ids and turns stay null and link to nothing; JSON
-that doesn't parse, or lacks an identifier, stays text of its message; of calls with one identifier the first
-(by turn, place) is linked, later ones are "repeated"; results without a call are "orphan"; extra columns are ignored.
+0 without dependencies, else one more than the deepest of them; a result has its call's depth; calls in a cycle, and
+those that wait for one, have none.  Every message, call and result becomes one row of canonical JSON (sorted keys, no
+spaces, UTF-8), and the rows come sorted by conversation, depth, turn and place, by ranges.  Nothing gathers a
+conversation in one task.
+
+Edge cases: null texts are empty, null roles "unknown"; null conv_ids and turns stay null and link to nothing (their
+calls are open, with depth 0); JSON that doesn't parse (numbers without an end among it), lacks an identifier, nests
+deeper than Python's parser goes, or whose identifier is no Unicode text, stays text of its message; half a surrogate
+pair within a text is written as its escape; of calls with one identifier the first (by turn, place, then JSON) is
+linked, later ones are "repeated"; rows repeated whole are equal, and share their status; results without a call are
+"orphan"; texts are parsed whole, whatever their length; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,61 +41,111 @@ SCHEMAS: dict[str, dict] = {
 }
 
 
+_HALF = re.compile("[\ud800-\udfff]")
+
+
 def canonical(value: Any) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys and without spaces; halves of surrogate pairs are escaped.  Deep values are written by a stack."""
+    try:
+        text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    except RecursionError:
+        out: list[str] = []
+        todo: list[Any] = [(value,)]  # a tuple holds a value to write, a string is written as it is
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                out.append(x)
+            elif isinstance(x[0], dict):
+                parts: list[Any] = ["{"]
+                for i, k in enumerate(sorted(x[0])):
+                    parts += ["," * (i > 0) + json.dumps(k, ensure_ascii=False) + ":", (x[0][k],)]
+                todo += reversed([*parts, "}"])
+            elif isinstance(x[0], list):
+                parts = ["["]
+                for i, v in enumerate(x[0]):
+                    parts += ["," * (i > 0), (v,)]
+                todo += reversed([*parts, "]"])
+            else:
+                out.append(json.dumps(x[0], ensure_ascii=False, allow_nan=False))
+        text = "".join(out)
+    return _HALF.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def is_result(value: Any) -> bool:
+    return isinstance(value, dict) and set(value) == {"$result"}
 
 
 def valid(value: Any, schema: dict) -> bool:
-    if isinstance(value, dict) and set(value) == {"$result"}:  # known when it runs
-        return True
-    kind = schema.get("type")
-    if kind == "integer" and (isinstance(value, bool) or not (isinstance(value, int) or isinstance(value, float) and value.is_integer())):
-        return False
-    if kind == "number" and (isinstance(value, bool) or not isinstance(value, (int, float))):
-        return False
-    if kind in _TYPES and not isinstance(value, _TYPES[kind]):
-        return False
-    if "enum" in schema and value not in schema["enum"]:
-        return False
-    if isinstance(value, dict):
-        known = schema.get("properties", {})
-        if any(k not in value for k in schema.get("required", ())):
+    todo = [(value, schema)]
+    while todo:
+        value, schema = todo.pop()
+        if is_result(value):  # known when it runs
+            continue
+        kind = schema.get("type")
+        if kind == "integer" and (isinstance(value, bool) or not (isinstance(value, int) or isinstance(value, float) and value.is_integer())):
+            return False
+        if kind == "number" and (isinstance(value, bool) or not isinstance(value, (int, float))):
             return False
-        if schema.get("additionalProperties") is False and any(k not in known for k in value):
+        if kind in _TYPES and not isinstance(value, _TYPES[kind]):
             return False
-        return all(valid(v, known[k]) for k, v in value.items() if k in known)
-    if isinstance(value, list) and "items" in schema:
-        return all(valid(v, schema["items"]) for v in value)
+        if "enum" in schema and value not in schema["enum"]:
+            return False
+        if isinstance(value, dict):
+            known = schema.get("properties", {})
+            if any(k not in value for k in schema.get("required", ())):
+                return False
+            if schema.get("additionalProperties") is False and any(k not in known for k in value):
+                return False
+            todo += [(v, known[k]) for k, v in value.items() if k in known]
+        elif isinstance(value, list) and "items" in schema:
+            todo += [(v, schema["items"]) for v in value]
     return True
 
 
 def mentions(value: Any) -> list[str]:
-    if isinstance(value, dict):
-        if set(value) == {"$result"} and isinstance(value["$result"], str):
-            return [value["$result"]]
-        return sorted({x for v in value.values() for x in mentions(v)})
-    return sorted({x for v in value for x in mentions(v)}) if isinstance(value, list) else []
+    found, todo = set(), [value]
+    while todo:
+        value = todo.pop()
+        if is_result(value) and isinstance(value["$result"], str):
+            if not _HALF.search(value["$result"]):
+                found.add(value["$result"])
+        elif isinstance(value, dict):
+            todo += value.values()
+        elif isinstance(value, list):
+            todo += value
+    return sorted(found)
+
+
+def _no_number(name: str) -> float:
+    raise ValueError(name)
+
+
+def event(kind: str, raw: str, schemas: dict[str, dict]) -> tuple | None:
+    """(kind, call_id, json, valid, needs) of a call or result, or None if it is none."""
+    try:
+        body = json.loads(raw, parse_constant=_no_number)
+        if not isinstance(body, dict) or not isinstance(body.get("id"), str) or _HALF.search(body["id"]):
+            return None
+        if kind == "result":
+            return kind, body["id"], canonical({"content": body.get("content"), "id": body["id"], "type": "tool_result"}), None, []
+        if not isinstance(body.get("name"), str):
+            return None
+        args = body.get("arguments", {})
+        ok = valid(args, schemas[body["name"]]) if body["name"] in schemas else None
+        return kind, body["id"], canonical({"arguments": args, "id": body["id"], "name": body["name"], "type": "tool_call"}), ok, mentions(args)
+    except (ValueError, RecursionError):
+        return None
 
 
 def parse(role: str | None, text: str | None, schemas: dict[str, dict]) -> list[tuple]:
     """(place, kind, call_id, json, valid, needs) of a message and of what it holds."""
     events, rest, at = [], [], 0
     for m in _PART.finditer(text or ""):
-        try:
-            body = json.loads(m[2])
-            name = body["id"]
-            if not isinstance(name, str) or m[1] == "call" and not isinstance(body["name"], str):
-                continue
-        except (ValueError, KeyError, TypeError, RecursionError):
-            continue
-        rest.append((text or "")[at : m.start()])
-        at = m.end()
-        if m[1] == "call":
-            args = body.get("arguments", {})
-            ok = valid(args, schemas[body["name"]]) if body["name"] in schemas else None
-            events.append(("call", name, canonical({"arguments": args, "id": name, "name": body["name"], "type": "tool_call"}), ok, mentions(args)))
-        else:
-            events.append(("result", name, canonical({"content": body.get("content"), "id": name, "type": "tool_result"}), None, []))
+        found = event(m[1], m[2], schemas)
+        if found:
+            events.append(found)
+            rest.append((text or "")[at : m.start()])
+            at = m.end()
     rest.append((text or "")[at:])
     message = ("message", None, canonical({"content": "".join(rest), "role": role or "unknown"}), None, [])
     return [(i, *e) for i, e in enumerate([message, *events])]
@@ -118,7 +171,7 @@ def depths(calls: DataFrame) -> DataFrame:
 
 
 def format_chat(conversations: DataFrame, schemas: dict[str, dict] = SCHEMAS) -> DataFrame:
-    """conv_id, depth, turn, place, kind, call_id, status, valid, json."""
+    """conv_id, depth, turn, place, kind, call_id, status, valid, json, in the order of the first four (no depth last)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string())]
@@ -133,10 +186,11 @@ def format_chat(conversations: DataFrame, schemas: dict[str, dict] = SCHEMAS) ->
     order = F.struct("turn", "place", "json")
     calls = tools.where("kind = 'call'").groupBy("conv_id", "call_id").agg(F.min(order).alias("first"), F.min_by("needs", order).alias("needs"))
     results = tools.where("kind = 'result'").groupBy("conv_id", "call_id").agg(F.min(order).alias("answer"))
+    calls = calls.where("conv_id is not null")
     calls = calls.join(depths(calls), ["conv_id", "call_id"], "left")
     links = calls.join(results, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "first", "answer", "depth")
-    linked = tools.join(links, ["conv_id", "call_id"], "left")
+    linked = tools.join(links, ["conv_id", "call_id"], "left").withColumn("depth", F.when(F.col("conv_id").isNull() & (F.col("kind") == "call"), 0).otherwise(F.col("depth")))
     status = F.when(F.col("kind") == "call", F.when(F.col("first").isNull() | (F.col("first") == order), F.when(F.col("answer").isNull(), "open").otherwise("linked")).otherwise("repeated")).otherwise(F.when(F.col("first").isNull(), "orphan").when(F.col("answer") == order, "linked").otherwise("repeated"))
     linked = linked.select("conv_id", "depth", "turn", "place", "kind", "call_id", status.alias("status"), "valid", "json")
     plain = events.where("kind = 'message'").select("conv_id", F.lit(0).alias("depth"), "turn", "place", "kind", "call_id", F.lit("message").alias("status"), "valid", "json")
-    return plain.unionByName(linked)
+    return plain.unionByName(linked).orderBy("conv_id", F.asc_nulls_last("depth"), "turn", "place")

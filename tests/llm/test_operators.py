@@ -348,6 +348,70 @@ def test_chat(spark):
     assert [r.json for r in got if r.kind == "message" and r.conv_id is None] == ['{"content":"","role":"unknown"}']
 
 
+def test_chat_against_a_walk_through_every_conversation(spark):
+    import json
+
+    from fiberlake.llm.chat import SCHEMAS, valid
+
+    rnd = random.Random(9)
+    rows, want = [], []
+    for conv in [*range(30), None]:
+        events = []  # (turn, place, kind, id, args or content)
+        for turn in range(rnd.randrange(1, 7)):
+            text, place = f"say {turn} ", 0
+            for _ in range(rnd.randrange(0, 4)):
+                name, place = rnd.choice("abcdef"), place + 1
+                if rnd.random() < 0.6:
+                    args = {"query": {"$result": rnd.choice("abcdef")} if rnd.random() < 0.5 else "x"} | ({"limit": rnd.choice([1, 2.0, "z"])} if rnd.random() < 0.3 else {})
+                    text += "<tool_call>" + json.dumps({"name": "search", "id": name, "arguments": args}) + "</tool_call>"
+                    events.append((turn, place, "call", name, args))
+                else:
+                    text += "<tool_result>" + json.dumps({"id": name, "content": turn}) + "</tool_result>"
+                    events.append((turn, place, "result", name, turn))
+            rows.append((conv, turn, "assistant", text, 1))
+            want.append((conv, 0, turn, 0, "message", None, "message", None, f'{{"content":"say {turn} ","role":"assistant"}}'))
+        first, answer = {}, {}
+        for e in events if conv is not None else []:
+            (first if e[2] == "call" else answer).setdefault(e[3], e)
+        need = {i: e[4]["query"]["$result"] for i, e in first.items() if isinstance(e[4]["query"], dict) and e[4]["query"]["$result"] in first}
+
+        def depth(i, path=()):
+            if i in path:
+                return None
+            if i not in need:
+                return 0
+            below = depth(need[i], (*path, i))
+            return None if below is None else below + 1
+
+        for e in events:
+            turn, place, kind, name, args = e
+            own = first.get(name)
+            if kind == "call":
+                status = "repeated" if own and own != e else "linked" if own and name in answer else "open"
+                ok, text = valid(args, SCHEMAS["search"]), json.dumps({"arguments": args, "id": name, "name": "search", "type": "tool_call"}, sort_keys=True, separators=(",", ":"))
+            else:
+                status = "orphan" if not own else "linked" if answer[name] == e else "repeated"
+                ok, text = None, json.dumps({"content": args, "id": name, "type": "tool_result"}, sort_keys=True, separators=(",", ":"))
+            want.append((conv, depth(name) if own else 0 if kind == "call" else None, turn, place, kind, name, status, ok, text))
+    got = [tuple(r) for r in format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, depth int")).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    order = [(r[0] is not None, r[0] or 0, r[1] is None, r[1] or 0, r[2], r[3]) for r in got]
+    assert order == sorted(order)
+
+
+def test_chat_of_odd_texts(spark):
+    deep = "[" * 3000 + "]" * 3000
+    texts = ['<tool_call>{"id":"\\ud800","name":"x"}</tool_call>', '<tool_call>{"id":"a","name":"x","arguments":' + deep + "}</tool_call>", '<tool_result>{"id":"a","content":"\\ud800 \\ud83d\\ude00"}</tool_result>', '<tool_result>{"id":"b","content":NaN}</tool_result>', "<tool_call>[1]</tool_call>", "y" * 2_000_000, '<tool_call>{"id":"c","name":"search","arguments":{"query":[' + "1," * 5 + '{"$result":"a"}]}}</tool_call>', '<tool_call>{"id":"e","name":"x","arguments":1e999}</tool_call>']
+    got = format_chat(spark.createDataFrame([(1, i, "tool", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")).collect()
+    by = {(r.turn, r.kind): r for r in got}
+    assert by[0, "message"].json == '{"content":' + __import__("json").dumps(texts[0]) + ',"role":"tool"}'
+    assert by[1, "call"].json == '{"arguments":' + deep + ',"id":"a","name":"x","type":"tool_call"}' and by[1, "call"].status == "linked"
+    assert by[2, "result"].json == '{"content":"\\ud800 😀","id":"a","type":"tool_result"}'
+    assert by[6, "call"].depth == 1 and not by[6, "call"].valid
+    assert len(got) == len(texts) + 3
+    assert format_chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
