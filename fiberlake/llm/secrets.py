@@ -11,11 +11,15 @@ with such a part are reported.  Parts are dealt by row and by scope-wide bucket,
 three buckets, not of a whole document; it is a semi join and makes no pairs.
 
 Edge cases: a null text is empty and has no findings; rows that repeat doc_id and text get the same answer; a null
-doc_id stays null; extra columns are ignored; an empty table gives no rows.  Offsets are code points, end exclusive.
+doc_id stays null; extra columns are ignored; an empty table gives no rows.  Texts are scanned whole, whatever their
+length; of spans that start together the kind's order decides.  Offsets are code points, end exclusive.
+
+The patterns run once over each text; what they find is kept as a narrow frame that all further steps read.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,12 +58,12 @@ def spans_of(text: Column, pattern: str, kind: int, matches: Column, value: tupl
     return F.when(F.size(matches) > 0, found).otherwise(F.array().cast(_SPAN))
 
 
-def scan(rows: DataFrame, text: bool = False) -> DataFrame:
-    """rows with a column of spans for each kind, and without the text unless it is wanted."""
+def scan(rows: DataFrame) -> DataFrame:
+    """rows without the text, but with a column of spans for each kind; kept on disk, since several branches read it."""
     patterns = [("assign", ASSIGN, (2, 6)), ("access", ACCESS, None), ("hex", HEX, None), ("identifier", IDENTIFIER, None), ("blob", BLOB, None), ("endpoint", ENDPOINT, None)]
     kept = [c for c in rows.columns if c != "text"]
     matched = rows.select(*kept, "text", *(F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(f"m_{n}") for n, p, _ in patterns))
-    return matched.select(*kept, *["text"] * text, *(spans_of(F.col("text"), p, k, F.col(f"m_{n}"), value).alias(n) for k, (n, p, value) in enumerate(patterns)))
+    return matched.select(*kept, *(spans_of(F.col("text"), p, k, F.col(f"m_{n}"), value).alias(n) for k, (n, p, value) in enumerate(patterns))).persist(StorageLevel.DISK_ONLY)
 
 
 def joined(spans: Column) -> Column:
@@ -98,10 +102,13 @@ def secret_scan(docs: DataFrame, scope: int = 200) -> DataFrame:
 
 def redact(docs: DataFrame, columns: tuple[str, ...] = (), scope: int = 200, mark: str = "[SECRET]") -> DataFrame:
     """doc_id, text and the named further columns, each secret (overlapping ones together) replaced by the mark."""
-    found = scan(keyed(docs, *(F.col(c) for c in columns)), text=True)
+    whole = keyed(docs, *(F.col(c) for c in columns))
+    found = scan(whole.select("did", "rid", "text"))
     weak = linked(found, scope)
-    rows = found.join(weak, ["did", "rid"], "left")
-    every = F.array_sort(F.concat("assign", "access", "hex", F.coalesce("weak", F.array().cast(_SPAN))))
+    spans = found.dropDuplicates(["did", "rid"]).join(weak, ["did", "rid"], "left")
+    spans = spans.select("did", "rid", F.array_sort(F.concat("assign", "access", "hex", F.coalesce("weak", F.array().cast(_SPAN)))).alias("spans")).where(F.size("spans") > 0)
+    rows = whole.join(spans, ["did", "rid"], "left")
+    every = F.coalesce("spans", F.array().cast(_SPAN))
 
     def step(state, s):
         at = state["at"]
