@@ -82,19 +82,18 @@ class DoubleArray:
             for c, child in children.items():
                 check[b + c + 1], value[b + c + 1] = place, ends[child]
             queue += [(child, b + c + 1) for c, child in children.items()]
+        check[0] = -2  # no step leads back to the root
         self.base, self.check, self.value = (array("i", x) for x in (base, check, value))
+        self._lists: tuple[list[int], list[int], list[int]] | None = None
 
-    def prefixes(self, data: bytes, start: int) -> Iterator[tuple[int, int]]:
-        """(end, id) of every key that begins at start."""
-        base, check, value = self.base, self.check, self.value
-        at = 0
-        for i in range(start, len(data)):
-            to = base[at] + data[i] + 1
-            if check[to] != at or to == 0:
-                return
-            at = to
-            if value[at] >= 0:
-                yield i + 1, value[at]
+    def tables(self) -> tuple[list[int], list[int], list[int]]:
+        """base, check and value as lists, which Python reads faster; arrays are what travels."""
+        if self._lists is None:
+            self._lists = [*self.base], [*self.check], [*self.value]
+        return self._lists
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_lists": None}
 
 
 def _cuts(pieces: list[str]) -> re.Pattern:
@@ -126,26 +125,35 @@ class Unigram:
     def viterbi(self, word: str) -> list[int]:
         data = word.encode()
         n = len(data)
-        best, back = [-math.inf] * (n + 1), [(0, -1)] * (n + 1)
+        best, start, piece = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
-        scores = self.scores
+        scores, floor = self.scores, self.floor
+        base, check, value = self.trie.tables()
         for i in range(n):
             here = best[i]
-            if here == -math.inf or data[i] & 0xC0 == 0x80:
+            if here == -math.inf:  # within a character
                 continue
-            width = 1 if data[i] < 0x80 else 2 if data[i] < 0xE0 else 3 if data[i] < 0xF0 else 4
-            single = False
-            for end, piece in self.trie.prefixes(data, i):
-                single |= end == i + width
-                if here + scores[piece] > best[end]:
-                    best[end], back[end] = here + scores[piece], (i, piece)
-            if not single and here + self.floor > best[i + width]:
-                best[i + width], back[i + width] = here + self.floor, (i, -1)
+            first = data[i]
+            wide = i + (1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4)
+            single, at = False, 0
+            for j in range(i, n):  # down the trie; every key that ends on the way is a piece
+                to = base[at] + data[j] + 1
+                if check[to] != at:
+                    break
+                at = to
+                p = value[to]
+                if p >= 0:
+                    j += 1
+                    single |= j == wide
+                    score = here + scores[p]
+                    if score > best[j]:
+                        best[j], start[j], piece[j] = score, i, p
+            if not single and here + floor > best[wide]:
+                best[wide], start[wide], piece[wide] = here + floor, i, -1
         out, at = [], n
         while at:
-            start, piece = back[at]
-            out += [piece] if piece >= 0 else [self.byte_ids[b] for b in reversed(data[start:at])]
-            at = start
+            out += [piece[at]] if piece[at] >= 0 else [self.byte_ids[b] for b in reversed(data[start[at] : at])]
+            at = start[at]
         return out[::-1]
 
     def encode_packed(self, text: str, cache: dict[str, bytes]) -> bytes:
@@ -158,15 +166,18 @@ class Unigram:
         for k, part in enumerate(parts):
             if k:
                 out.append(np.array([self.byte_ids[b] for b in MARK.encode()], "<i4").tobytes())
-            for word in self.cut.findall((MARK if k == 0 else "") + part.replace(" ", MARK)):
-                ids = cache.get(word)
-                if ids is None:
-                    ids = np.array(self.viterbi(word), "<i4").tobytes()
-                    if len(word) <= 64:
-                        if len(cache) >= _CACHE:
-                            cache.clear()
-                        cache[word] = ids
-                out.append(ids)
+            words = self.cut.findall((MARK if k == 0 else "") + part.replace(" ", MARK))
+            found = [*map(cache.get, words)]
+            if None in found:
+                for i, ids in enumerate(found):
+                    if ids is None:
+                        word = words[i]
+                        ids = found[i] = cache.get(word) or np.array(self.viterbi(word), "<i4").tobytes()
+                        if len(word) <= 64:
+                            if len(cache) >= _CACHE:
+                                cache.clear()
+                            cache[word] = ids
+            out += found
         return b"".join(out)
 
     def encode(self, text: str) -> list[int]:

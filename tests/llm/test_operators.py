@@ -165,6 +165,23 @@ def test_secrets(spark):
     assert secret_scan(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_secret_links_against_all_pairs(spark):
+    from fiberlake.llm import secrets
+
+    rnd = random.Random(15)
+    parts = ["user: bob7", "login=alice.x", "client_id: k99", "https://h.example/p", "host = db1.local", "B" + "aZ3/" * 9 + "==", "password=hunter22", "AKIA" + "QWERTY123456ABCDEF", "0123456789abcdef" * 2, "plain", "words", "\n"]
+    texts = [" ".join(rnd.choice(parts) if rnd.random() < 0.25 else "w" * rnd.randrange(1, 60) for _ in range(rnd.randrange(0, 60))) for _ in range(60)] + [None, ""]
+    docs = frame(spark, texts)
+    patterns = [(k, n, c, w, p, g) for (k, n, c, w), (p, g) in zip(secrets.KINDS, [(secrets.ASSIGN, (2, 6)), (secrets.ACCESS, None), (secrets.HEX, None), (secrets.IDENTIFIER, None), (secrets.BLOB, None), (secrets.ENDPOINT, None)])]
+    want = {}
+    for i, t in enumerate(texts):
+        found = [(m.start(), k, m.end(), c, w) for k, _, c, w, p, g in patterns for m in re.finditer(p, t or "", re.A) if not g or len(m[g[0]]) >= g[1]]
+        keep = [s for s in found if not s[4] or any(abs(s[0] - o[0]) <= 200 and (s[2] <= o[0] or o[2] <= s[0]) and (s[3] == "secret") != (o[3] == "secret") for o in found)]
+        want[i] = ",".join(f"{secrets.KINDS[k][1]}:{a}:{b}" for a, k, b, _, _ in sorted(keep)), sum(s[4] for s in keep)
+    got = {r.doc_id: (r.spans, r.n_linked) for r in secret_scan(docs.unionByName(docs.limit(5))).collect()}
+    assert got == want and sum(n for _, n in want.values()) > 50
+
+
 def test_packing(spark):
     rnd = random.Random(3)
     texts = [" ".join(["w"] * rnd.randrange(0, 60)) + f" {i % 11}" for i in range(200)] + [None, "", "z " * 130]
@@ -329,6 +346,46 @@ def test_unigram_against_all_segmentations():
         assert model.decode(model.encode(text)) == text
 
 
+def test_encoded_documents_against_every_segmentation(spark, monkeypatch):
+    """The query's operator over odd rows, with a small vocabulary: ids of the best path, counts, digests, round trips."""
+    from fiberlake.llm import sentencepiece
+
+    pieces = [f"<0x{b:02X}>" for b in range(256)] + ["▁", "a", "b", "ab", "▁a", "aba", "é", "▁éa", "<s>"]
+    rnd = random.Random(16)
+    scores = [-20.0] * 256 + [-rnd.random() * 5 - 1 for _ in range(9)]
+    model = Unigram(pieces, scores, list(range(256)), {264})
+    monkeypatch.setattr(sentencepiece, "load", lambda path: model)
+    known = {p: i for i, p in enumerate(pieces) if 256 <= i < 264}
+    floor = min(scores[256:264]) - 10
+
+    def best(text):
+        """Score of the best segmentation; characters that no piece is may be written in bytes."""
+        t = "▁" + text.replace(" ", "▁")
+        table = [0.0] + [-1e9] * len(t)
+        for i, c in enumerate(t):
+            if c not in known:
+                table[i + 1] = max(table[i + 1], table[i] + floor)
+            for j in range(i + 1, min(len(t), i + 3) + 1):
+                if t[i:j] in known:
+                    table[j] = max(table[j], table[i] + scores[known[t[i:j]]])
+        return table[-1]
+
+    texts = [None, ""] + ["".join(rnd.choice("ab é") for _ in range(rnd.randrange(1, 30))) for _ in range(60)] + ["xyz 𝄞", "a▁b", "ab" * 200_000, " \n\t "]
+    docs = frame(spark, texts).unionByName(frame(spark, texts[:3]))
+    got = sentencepiece.encode_documents(docs, "small", ids=True).collect()
+    assert len(got) == len(texts) + 3 and all(r.round_trip for r in got)
+    for r in got:
+        text = texts[r.doc_id] or ""
+        assert (r.n_tokens, r.n_byte_tokens) == (len(r.ids), sum(i < 256 for i in r.ids))
+        assert r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<i4").tobytes()).hexdigest()
+        assert model.decode(r.ids) == text
+        if text and "▁" not in text and len(text) < 1000:
+            runs = 0.0
+            for i, x in enumerate(r.ids):  # a character in bytes costs the floor once, at its first byte
+                runs += scores[x] if x >= 256 else floor if x & 0xC0 != 0x80 else 0.0
+            assert abs(runs - best(text)) < 1e-9
+
+
 def test_chat(spark):
     call = lambda i, args: f'<tool_call>{{"id":"{i}","name":"search","arguments":{args}}}</tool_call>'
     rows = [
