@@ -28,7 +28,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fiberlake.llm.common import ensure_checkpoint_dir
+from fiberlake.llm.common import Tables
 
 _PART = re.compile(r"<tool_(call|result)>(.*?)</tool_\1>", re.S)
 _TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
@@ -153,20 +153,19 @@ def parse(role: str | None, text: str | None, schemas: dict[str, dict]) -> list[
 
 def depths(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, depth): longest way back over needs.  Each round settles the calls whose needs are settled."""
-    ensure_checkpoint_dir(calls.sparkSession)
+    tables = Tables(calls.sparkSession)
     needs = calls.select("conv_id", "call_id", F.explode(F.array_distinct("needs")).alias("need"))
     known = calls.select("conv_id", F.col("call_id").alias("need"))
-    needs = needs.join(known, ["conv_id", "need"], "left_semi")  # a call that isn't there is waited for by nobody
-    done = calls.join(needs, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("depth")).checkpoint()
-    open_needs = needs.checkpoint()
-    while not open_needs.isEmpty():
-        settled = open_needs.join(done.select("conv_id", F.col("call_id").alias("need"), "depth"), ["conv_id", "need"], "left")
+    needs = tables.put("needs", needs.join(known, ["conv_id", "need"], "left_semi"))  # a call that isn't there is waited for by nobody
+    done = tables.put("done", calls.join(needs, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("depth")))
+    while not needs.isEmpty():
+        settled = needs.join(done.select("conv_id", F.col("call_id").alias("need"), "depth"), ["conv_id", "need"], "left")
         ready = settled.groupBy("conv_id", "call_id").agg(F.count(F.when(F.col("depth").isNull(), 1)).alias("missing"), (F.max("depth") + 1).alias("depth"))
-        ready = ready.where("missing = 0").select("conv_id", "call_id", "depth").checkpoint()
+        ready = tables.put("ready", ready.where("missing = 0").select("conv_id", "call_id", "depth"))
         if ready.isEmpty():
             break  # what is left depends on itself
-        done = done.unionByName(ready).checkpoint()
-        open_needs = open_needs.join(ready, ["conv_id", "call_id"], "left_anti").checkpoint()
+        done = tables.put("done", done.unionByName(ready))
+        needs = tables.put("needs", needs.join(ready, ["conv_id", "call_id"], "left_anti"))
     return done
 
 

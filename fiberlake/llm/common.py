@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -46,6 +47,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="fiberlake-checkpoint-"))
 
 
+class Tables:
+    """Tables written as Parquet to the folder that the cluster shares, so that a job goes on from files.
+
+    Unlike a checkpoint, what is read again has its real size: the size that Spark expects of a join is the product of
+    its sides', and in rounds of joins over checkpoints that number gets longer than anything can be planned with.
+    A name that is written again replaces its table; the last one of each name stays, for frames that still read it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        ensure_checkpoint_dir(spark)
+        self.spark, self.folder = spark, f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+        self.turns: dict[str, int] = {}
+
+    def put(self, name: str, frame: DataFrame) -> DataFrame:
+        turn = self.turns[name] = self.turns.get(name, 0) + 1
+        frame.write.parquet(f"{self.folder}/{name}-{turn}")
+        if turn > 1:
+            self.drop(name, turn - 1)
+        return self.spark.read.schema(frame.schema).parquet(f"{self.folder}/{name}-{turn}")
+
+    def drop(self, name: str, turn: int | None = None) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}-{turn or self.turns[name]}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int):
     """Runs of rows of a batch whose texts have about `limit` bytes together; a longer text stands alone."""
     lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)

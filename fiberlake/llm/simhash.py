@@ -25,7 +25,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fiberlake.llm.common import ensure_checkpoint_dir, slices, text_of
+from fiberlake.llm.common import Tables, slices, text_of
 
 _STEP = 1 << 16
 
@@ -143,32 +143,28 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (a, b): root is the smallest node that is connected.
 
     Each round hooks every root to its smallest neighbouring root, jumps pointers until they rest, and contracts the
-    links; roots at least halve.  Rounds are cut by checkpoint().
+    links; roots at least halve.  Rounds are cut by written tables.
     """
-    ensure_checkpoint_dir(links.sparkSession)
-    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().checkpoint()
+    tables = Tables(links.sparkSession)
+    edges = tables.put("edges", links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     known = None
-    while True:
-        hooks = edges.groupBy("a").agg(F.min("b").alias("b")).checkpoint()
-        if hooks.isEmpty():
-            break
+    while not edges.isEmpty():
+        hooks = tables.put("hooks", edges.groupBy("a").agg(F.min("b").alias("b")))
         while True:
             up = hooks.select(F.col("a").alias("b"), F.col("b").alias("c"))
-            hooks = hooks.join(up, "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().alias("moved")).checkpoint()
-            moved = not hooks.where("moved").isEmpty()
-            hooks = hooks.select("a", "b")
-            if not moved:
+            hooks = tables.put("hooks", hooks.select("a", "b").join(up, "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().alias("moved")))
+            if hooks.where("moved").isEmpty():
                 break
         if known is None:
-            known = hooks.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            known = tables.put("known", hooks.select(F.col("a").alias("node"), F.col("b").alias("root")))
         else:
             step = hooks.select(F.col("a").alias("root"), F.col("b").alias("to"))
             fresh = hooks.select(F.col("a").alias("node"), F.col("b").alias("root")).join(known.select("node"), "node", "left_anti")
-            known = known.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")).unionByName(fresh).checkpoint()
+            known = tables.put("known", known.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")).unionByName(fresh))
         for end in ("a", "b"):
             step = hooks.select(F.col("a").alias(end), F.col("b").alias("to"))
             edges = edges.join(step, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-        edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().checkpoint()
+        edges = tables.put("edges", edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     if known is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
     roots = known.select("root").distinct().select(F.col("root").alias("node"), "root")

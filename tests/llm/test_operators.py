@@ -196,6 +196,36 @@ def test_packing(spark):
     assert sorted(packed[packed.doc_id == 202].start) == [0, 50, 100]
 
 
+def test_best_fit_against_a_search_of_all_bins():
+    """For each item the bin with the least room that takes it, of equal ones the oldest; conflicts by both bitmaps."""
+    from fiberlake.llm.packing import best_fit
+
+    rnd = random.Random(18)
+    for capacity in (10, 50):
+        for _ in range(40):
+            items = sorted(((rnd.randrange(1, capacity + 1), rnd.choice([None, "a", "b", "c", "d"]), rnd.randrange(12)) for _ in range(rnd.randrange(80))), key=lambda x: -x[0])
+            bins, want = [], []
+            for n, source, cluster in items:
+                able = [(capacity - sum(x[0] for x in b), i) for i, b in enumerate(bins)]
+                able = [(room, i) for room, i in able if room >= n and all((source is None or x[1] != source) and x[2] != cluster for x in bins[i])]
+                i = min(able)[1] if able else len(bins)
+                if not able:
+                    bins.append([])
+                want.append((i, sum(x[0] for x in bins[i])))
+                bins[i].append((n, source, cluster))
+            assert best_fit([x[0] for x in items], [x[1] for x in items], [x[2] for x in items], capacity) == want
+
+
+def test_packing_of_odd_tables(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", 0, "x"), (1, "a b c", "s", 0, "x"), (2, "A  b c", None, 0, "y"), (None, None, None, 0, "z"), (3, "w " * 100_000, "t", 0, "z")], "doc_id long, text string, source string, shard int, bin_id string")
+    rows = best_fit_pack(docs, capacity=64).toPandas()
+    packed = rows[rows.bin_id.notna()]
+    assert sorted(packed[packed.doc_id == 1]["copy"]) == [1, 2]
+    assert packed[packed.doc_id.isin([1, 2])].bin_id.nunique() == 3  # equal but for case and spacing: copies
+    assert packed[packed.doc_id == 3].n_words.sum() == 100_000 and packed.groupby("bin_id").n_words.sum().max() <= 64
+    assert rows[rows.bin_id.isna()].shape[0] == 1 and best_fit_pack(docs.limit(0)).count() == 0
+
+
 def test_searches(spark):
     rng = np.random.default_rng(4)
     x = np.round(rng.normal(size=(230, 8)), 1).astype(np.float32)  # rounding makes ties
@@ -557,6 +587,52 @@ def test_licenses_that_stand_twice_or_have_no_hint_word(spark):
     assert got == [[("MIT (notice)", 1.0)] * 2, [("MIT", 1.0)] * 2, [("MIT (notice)", 0.8)], []]
 
 
+def test_alignment_against_its_definition():
+    """Patience alignment written down recursively, over random words."""
+    from collections import Counter
+
+    def plain(a, b, i, j):
+        if a and b and a[0] == b[0]:
+            return [(i, j), *plain(a[1:], b[1:], i + 1, j + 1)]
+        if a and b and a[-1] == b[-1]:
+            return [*plain(a[:-1], b[:-1], i, j), (i + len(a) - 1, j + len(b) - 1)]
+        left, right = Counter(a), Counter(b)
+        both = [(x, b.index(w)) for x, w in enumerate(a) if left[w] == right[w] == 1]
+        kept = [both[k] for k in increasing([y for _, y in both])]
+        if not kept:
+            return []
+        out, at = [], (0, 0)
+        for x, y in [*kept, (len(a), len(b))]:
+            out += plain(a[at[0] : x], b[at[1] : y], i + at[0], j + at[1]) + [(i + x, j + y)] * (x < len(a))
+            at = (x + 1, y + 1)
+        return out
+
+    rnd = random.Random(19)
+    for _ in range(300):
+        a, b = ([rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(25))] for _ in range(2))
+        assert align(a, b) == plain(a, b, 0, 0)
+
+
+def test_edited_licenses_are_found_where_they_stand(spark):
+    from fiberlake.llm.licenses import _WORD
+
+    rnd = random.Random(20)
+    texts, want = [], []
+    for name, template in TEMPLATES.items():
+        words = _WORD.findall(template)
+        for _ in range(4):
+            edited = [w if rnd.random() > 0.1 else "edit" for w in words]
+            before = ["pre"] * rnd.randrange(50)
+            texts.append(" ".join(before + edited + ["post"] * rnd.randrange(50)))
+            want.append((name, len(before), len(align([w.lower() for w in edited], [w.lower() for w in words])) / len(words)))
+    rows = license_scan(frame(spark, texts)).orderBy("doc_id").collect()
+    for r, (name, first, cover) in zip(rows, want):
+        if cover >= 0.8:
+            here = [m for m in r.licenses if m.first_word <= first + len(_WORD.findall(TEMPLATES[name])) and m.last_word >= first]
+            assert here and max(m.coverage for m in here) >= round(cover, 6)
+        assert all(m.coverage >= 0.8 for m in r.licenses)
+
+
 def test_every_license_of_a_text(spark):
     names = sorted(TEMPLATES)
     text = " filler words between them ".join(TEMPLATES[n] for n in names)
@@ -567,6 +643,47 @@ def test_every_license_of_a_text(spark):
     assert (row.license, row.coverage) == (row.licenses[0].license, 1.0)
 
 
+def test_near_duplicates_against_all_pairs(spark):
+    """Texts of 1 to 120 words, down to the smallest sets that can be at 0.8, with repeated rows and columns that clash."""
+    from fiberlake.llm.near_duplicates import Tokens, near_duplicates, shingles
+
+    rnd = random.Random(17)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    texts = [None, "", " ", "One two", "one  TWO", "x" * 100_000]
+    for n in [*range(1, 31), 60, 120]:
+        for _ in range(12):
+            base = [word() for _ in range(n)]
+            texts.append(" ".join(base))
+            for _ in range(3):
+                near = list(base)
+                for _ in range(rnd.randrange(0, 3)):
+                    if rnd.random() < 0.5:
+                        near.append(word())
+                    else:
+                        near[rnd.choice([0, -1, rnd.randrange(n)])] = word()
+                texts.append(" ".join(near))
+    sets = [frozenset(shingles(t or "", 5, Tokens()).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if not sets[i] and not sets[j] or sets[i] and len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4:
+                root[top(i)] = top(j)
+    docs = spark.createDataFrame([(i, t, i, "k") for i, t in enumerate([*texts, *texts[:20]])], "doc_id long, text string, uid long, key string")
+    got = {r.doc_id: r.root for r in near_duplicates(docs, tile=300, block=2, columns=("key",)).collect()}
+    groups = {}
+    for i in range(len(texts)):
+        groups.setdefault(got[i], set()).add(top(i))
+    assert len(groups) == len({top(i) for i in range(len(texts))}) and all(len(x) == 1 for x in groups.values())
+    assert all(got[len(texts) + i] == got[i] for i in range(20))
+    assert near_duplicates(docs.limit(0)).count() == 0
+
+
 def test_links_of_a_tile():
     import numpy as np
     from fractions import Fraction
