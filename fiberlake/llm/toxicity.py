@@ -203,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, evidence: float
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(F.broadcast(known), "doc_id").select("text", "toxic")
     # rows that share a doc_id may be more than the sample: copies go here, and the rest is bounded below
     texts = texts.mapInArrow(least_shingle, "text string, toxic int, least long").groupBy("least", "toxic").agg(F.min("text").alias("text"))
-    texts = texts.orderBy("least", "toxic").limit(sample).select("text", "toxic").persist(StorageLevel.DISK_ONLY)
+    texts = texts.orderBy("least", "toxic").limit(sample).repartition(64, "least").select("text", "toxic").persist(StorageLevel.DISK_ONLY)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each feature the texts and words of either kind that have it; of the empty one, all texts and words."""
