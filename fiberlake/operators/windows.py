@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import replace
 
 from pyspark.sql import Column, Window
@@ -132,11 +133,70 @@ def strain_rate_edgeless(patch: Patch, dim: str, step_multiple: int = 1) -> Patc
 
 
 def kurtosis(patch: Patch, dim: str, width: float, samples: bool = False) -> Patch:
-    """Excess kurtosis of trailing windows, from central moments."""
+    """Fourth over squared second central moment of windows around each sample, cut at the ends; null where nothing varies."""
     n = patch.coords[dim].samples_in(width, samples)
-    w = patch.ordered(dim).rowsBetween(1 - n, 0)
+    w = patch.ordered(dim).rowsBetween(-(n // 2), n - n // 2 - 1)
     v = F.col(V)
     m1, m2, m3, m4 = (F.avg(x).over(w) for x in (v, v * v, v * v * v, v * v * v * v))
     var = m2 - m1 * m1
     fourth = m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 * m1 * m1 * m1
-    return patch.with_value(F.when(F.count(V).over(w) == n, F.try_divide(fourth, var * var) - 3), "kurtosis")
+    return patch.with_value(F.when(var > 0, F.try_divide(fourth, var * var)), "kurtosis")
+
+
+def radians_to_strain(patch: Patch, gauge_length: float | None = None, wave_length: float = 1550e-9, stress_constant: float = 0.79, refractive_index: float = 1.445) -> Patch:
+    """Phase in radians to strain, for a gauge length in metres (that of the attributes if not given).
+
+    A patch whose data units have no radians comes back as it is.
+    """
+    gauge = gauge_length if gauge_length is not None else float(patch.attrs.get("gauge_length") or 0)
+    if gauge <= 0:
+        raise ParameterError("a positive gauge length is needed")
+    units = patch.attrs.get("data_units", "")
+    if "radian" not in units:
+        return patch
+    factor = wave_length / (4 * math.pi * refractive_index * gauge * stress_constant)
+    out = patch.map_value(lambda v: v * F.lit(factor), "radians to strain")
+    return out.new(attrs=out.attrs | {"data_units": units.replace("radians", "strain").replace("radian", "strain")})
+
+
+def differentiate_high(patch: Patch, dim: str, order: int = 4) -> Patch:
+    """First derivative of an even order of accuracy: centred stencils inside, one-sided ones of the same order at the ends."""
+    import numpy as np
+
+    coord, half = patch.coords[dim], order // 2
+    if order < 2 or order % 2 or coord.n <= order:
+        raise ParameterError("the order is even, positive and below the number of samples")
+    w, at = patch.ordered(dim), F.col(f"{dim}_idx")
+
+    def stencil(offsets: range) -> Column:
+        # weights that are exact for all powers up to the order
+        powers = np.vander(np.array(offsets, float), order + 1, increasing=True).T
+        weights = np.linalg.solve(powers, np.eye(order + 1)[1]) / float(coord.step)
+        v = lambda k: F.col(V) if k == 0 else F.lead(V, k).over(w) if k > 0 else F.lag(V, -k).over(w)
+        parts = [v(k) * float(x) for k, x in zip(offsets, weights) if abs(x) > 1e-14]
+        return sum(parts[1:], parts[0])
+
+    inner = stencil(range(-half, half + 1))
+    out = None
+    for i in range(half):
+        first, last = stencil(range(-i, order + 1 - i)), stencil(range(i - order, i + 1))
+        out = F.when(at == i, first) if out is None else out.when(at == i, first)
+        out = out.when(at == coord.n - 1 - i, last)
+    return patch.with_value(out.otherwise(inner), f"differentiate, order {order}")
+
+
+def rolling_apply(patch: Patch, dim: str, width: float, function, samples: bool = False) -> Patch:
+    """function(windows) -> values, over complete trailing windows of each trace (rows of a numpy array); null before."""
+    from fiberlake.operators.spectral import per_trace
+
+    import numpy as np
+
+    coord = patch.coords[dim]
+    n = coord.samples_in(width, samples)
+
+    def run(x):
+        view = np.lib.stride_tricks.sliding_window_view(x, n, axis=-1)
+        values = np.asarray(function(view.reshape(-1, n)), float).reshape(view.shape[:-1])
+        return np.concatenate([np.full((*x.shape[:-1], n - 1), np.nan), values], axis=-1)
+
+    return per_trace(patch, dim, run, coord.n, coord, "rolling apply", missing=float("nan"))

@@ -76,9 +76,9 @@ on_patch("dropna_all", lambda p: selecting.dropna(p, "distance", "all"), "SELECT
 register("flip", lambda s, d: selecting.flip(patch(s, d), "time").df.select("distance", "time_idx", "time", F.round("value", 6).alias("value")), f"WITH {_P} SELECT distance, 63 - time AS time_idx, time, round(value, 6) AS value FROM p")
 on_patch("roll", lambda p: selecting.roll(p, "time", 5), "SELECT distance, (time + 5) % 64 AS time, value AS x FROM p")
 on_patch("pad_const", lambda p: selecting.pad(p, "time", 2, 3, 1.0), "SELECT distance, time, value AS x FROM p UNION ALL SELECT DISTINCT distance, t, 1.0 FROM p, (SELECT CAST(unnest([-2, -1, 64, 65, 66]) AS BIGINT) AS t)")
-on_patch("append_dim", lambda p: selecting.append_dim(selecting.select(p, "time", 0, 3), "shot", [7, 8]), "SELECT distance, time, CAST(s AS INTEGER) AS shot, value AS x FROM p, (SELECT unnest([7, 8]) AS s) WHERE time <= 3")
+on_patch("append_dim", lambda p: selecting.append_dim(p, "shot", [7, 8]), "SELECT distance, time, CAST(s AS INTEGER) AS shot, value AS x FROM p, (SELECT unnest([7, 8]) AS s)")
 register("sort_coord", lambda s, d: selecting.sort_coord(patch(s, d), "time", reverse=True).df.select("distance", "time", "time_idx", F.round("value", 6).alias("value")), f"WITH {_P} SELECT distance, time, 63 - time AS time_idx, round(value, 6) AS value FROM p")
-register("to_dataframe_pivot", lambda s, d: selecting.to_dataframe(patch(s, d), list(range(4))).select("distance", *(F.round(F.col(str(i)), 6).alias(f"t{i}") for i in range(4))), "SELECT vec_id AS distance, " + ", ".join(f"round(CAST(embedding[{i + 1}] AS DOUBLE), 6) AS t{i}" for i in range(4)) + " FROM embeddings")
+register("to_dataframe_pivot", lambda s, d: selecting.to_dataframe(patch(s, d), list(range(TIMES))).select("distance", *(F.round(F.col(str(i)), 6).alias(f"t{i}") for i in range(TIMES))), "SELECT vec_id AS distance, " + ", ".join(f"round(CAST(embedding[{i + 1}] AS DOUBLE), 6) AS t{i}" for i in range(TIMES)) + " FROM embeddings")
 
 # aggregation
 _SQL_AGG = {"min": "min(value)", "max": "max(value)", "mean": "avg(value)", "median": "median(value)", "std": "stddev_pop(value)", "sum": "coalesce(sum(value), 0)", "first": "arg_min_null(value, time)", "last": "arg_max_null(value, time)", "any": "CAST(bool_or(coalesce(value <> 0, true)) AS DOUBLE)", "all": "CAST(bool_and(coalesce(value <> 0, true)) AS DOUBLE)"}
@@ -108,7 +108,9 @@ _DIFF = "CASE WHEN time < {k} THEN (-3 * value + 4 * lead(value, {k}) OVER w - l
 for _k, _name in ((1, "differentiate"), (2, "differentiate_step")):
     on_patch(_name, partial(lambda p, k: windows.differentiate(p, "time", k), k=_k), "SELECT distance, time, " + _DIFF.format(k=_k, k2=2 * _k) + " AS x FROM p WINDOW w AS (PARTITION BY distance ORDER BY time)")
 on_patch("strain_rate_edgeless", lambda p: windows.strain_rate_edgeless(p, "time", 2), "SELECT * FROM (SELECT distance, time + 1.0::DOUBLE AS time, (lead(value, 2) OVER w - value) / 2 AS x FROM p WINDOW w AS (PARTITION BY distance ORDER BY time)) WHERE x IS NOT NULL")
-on_patch("kurtosis_windowed", lambda p: windows.kurtosis(p, "time", 16), "SELECT distance, time, CASE WHEN count(value) OVER w = 16 THEN (m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 * m1 * m1 * m1) / ((m2 - m1 * m1) * (m2 - m1 * m1)) - 3 END AS x FROM (SELECT *, avg(value) OVER w AS m1, avg(value * value) OVER w AS m2, avg(value * value * value) OVER w AS m3, avg(value * value * value * value) OVER w AS m4 FROM p WINDOW w AS (PARTITION BY distance ORDER BY time ROWS 15 PRECEDING)) WINDOW w AS (PARTITION BY distance ORDER BY time ROWS 15 PRECEDING)", digits=4)
+_CENTRED = "WINDOW w AS (PARTITION BY distance ORDER BY time ROWS BETWEEN 8 PRECEDING AND 7 FOLLOWING)"
+on_patch("kurtosis_windowed", lambda p: windows.kurtosis(p, "time", 16), "SELECT distance, time, CASE WHEN m2 - m1 * m1 > 0 THEN (m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 * m1 * m1 * m1) / ((m2 - m1 * m1) * (m2 - m1 * m1)) END AS x FROM (SELECT *, avg(value) OVER w AS m1, avg(value * value) OVER w AS m2, avg(value * value * value) OVER w AS m3, avg(value * value * value * value) OVER w AS m4 FROM p " + _CENTRED + ")", digits=4)
+on_patch("kurtosis_recursive", lambda p: spectral.recursive_kurtosis(p, "time", 16))
 
 # arithmetic
 _half = lambda p: selecting.select(p, "time", 10, 40)
@@ -137,23 +139,40 @@ on_kernel("moving_sum", lambda p: kernels.moving(p, "time", 5, "sum"), 2, "sum(v
 on_kernel("moving_min", lambda p: kernels.moving(p, "time", 5, "min"), 2, "min(value)")
 on_kernel("moving_max", lambda p: kernels.moving(p, "time", 5, "max"), 2, "max(value)")
 on_kernel("moving_std", lambda p: kernels.moving(p, "time", 5, "std"), 2, "stddev_pop(value)")
+on_patch("moving_even", lambda p: kernels.moving(p, "time", 4, "mean", mode="nearest"), "SELECT o.distance, o.time, avg(q.value) AS x FROM p o, (SELECT unnest([-2, -1, 0, 1]) AS k), p q WHERE q.distance = o.distance AND q.time = greatest(0, least(63, o.time + k)) GROUP BY 1, 2")
+on_patch("moving_mirror", lambda p: kernels.moving(p, "time", 5, "max", mode="mirror"), "SELECT o.distance, o.time, max(q.value) AS x FROM p o, (SELECT unnest([-2, -1, 0, 1, 2]) AS k), p q WHERE q.distance = o.distance AND q.time = 63 - abs(63 - abs(o.time + k)) GROUP BY 1, 2")
+on_patch("moving_wrap", lambda p: kernels.moving(p, "time", 5, "sum", mode="wrap"), "SELECT o.distance, o.time, sum(q.value) AS x FROM p o, (SELECT unnest([-2, -1, 0, 1, 2]) AS k), p q WHERE q.distance = o.distance AND q.time = (o.time + k + 64) % 64 GROUP BY 1, 2")
 on_kernel("median_1d", lambda p: kernels.median(p, "time", 5), 2, "median(value)")
 on_kernel("gaussian", lambda p: kernels.gaussian(p, "time", 1.5), 6, "sum(value * exp(-0.5 * (k / 1.5) ** 2)) / (SELECT sum(exp(-0.5 * (i / 1.5) ** 2)) FROM (SELECT unnest(range(-6, 7)) AS i))")
 on_kernel("savgol", lambda p: kernels.savgol(p, "time", 5, 2), 2, "sum(value * CASE abs(k) WHEN 0 THEN 17 WHEN 1 THEN 12 ELSE -3 END) / 35")
-on_patch("sobel", lambda p: kernels.sobel(p, "time"))
-on_patch("hampel", lambda p: kernels.hampel(p, "time", 5))
-on_patch("taper", lambda p: kernels.taper(p, "time", 0.125), "SELECT distance, time, value * CASE WHEN least(time, 63 - time) < 8 THEN 0.5 - 0.5 * cos(least(time, 63 - time) * pi() / 8) ELSE 1 END AS x FROM p")
+_CLAMP = "CASE WHEN {v} < 0 THEN -1 - ({v}) WHEN {v} > {n} THEN 2 * {n} + 1 - ({v}) ELSE {v} END"
+on_patch("sobel", lambda p: kernels.sobel(p, "time"), "SELECT o.distance, o.time, sum(q.value * a.w * b.w) AS x FROM p o, (SELECT max(distance) AS m FROM p), (SELECT unnest([-1, 1]) AS k, unnest([-1, 1]) AS w) a, (SELECT unnest([-1, 0, 1]) AS k, unnest([1, 2, 1]) AS w) b, p q WHERE q.time = " + _CLAMP.format(v="o.time + a.k", n=63) + " AND q.distance = " + _CLAMP.format(v="o.distance + b.k", n="m") + " GROUP BY 1, 2")
+_MED = "quantile_cont({v}, 0.5) AS {o} FROM (SELECT o.distance, o.time, q.{v} FROM {t} o, (SELECT unnest([-2, -1, 0, 1, 2]) AS k) a, {t} q WHERE q.distance = o.distance AND q.time = " + _CLAMP.format(v="o.time + k", n=63) + ") GROUP BY 1, 2"
+on_patch("hampel", lambda p: kernels.hampel(p, {"time": 5}, 3.0), "WITH m AS (SELECT distance, time, " + _MED.format(v="value", o="m", t="p") + "), g AS (SELECT p.distance, p.time, p.value, m, abs(p.value - m) AS gap FROM p JOIN m USING (distance, time)), d AS (SELECT distance, time, " + _MED.format(v="gap", o="mad", t="g") + ") SELECT distance, time, CASE WHEN gap / (CASE WHEN mad = 0 THEN 2.220446049250313e-16 ELSE mad END) > 3 THEN m ELSE value END AS x FROM g JOIN d USING (distance, time)")
+on_patch("hampel_2d", lambda p: kernels.hampel(p, {"time": 3, "distance": 3}, 3.0))
+on_patch("hampel_box", lambda p: kernels.hampel(p, {"time": 3, "distance": 3}, 3.0, approximate=False))
+on_patch("taper", lambda p: kernels.taper(p, "time", 0.125), "SELECT distance, time, value * CASE WHEN least(time, 63 - time) < 8 THEN 0.5 - 0.5 * cos(2 * pi() * least(time, 63 - time) / 15) ELSE 1 END AS x FROM p")
+on_patch("taper_blackman", lambda p: kernels.taper(p, "time", (0.25, None), "blackman"), "SELECT distance, time, value * CASE WHEN time < 16 THEN 0.42 - 0.5 * cos(2 * pi() * time / 31) + 0.08 * cos(4 * pi() * time / 31) ELSE 1 END AS x FROM p")
+on_patch("taper_triangle", lambda p: kernels.taper(p, "time", (None, 0.25), "triang"), "SELECT distance, time, value * CASE WHEN time >= 48 THEN 1 - abs(2 * (time - 32) - 31) / 32.0 ELSE 1 END AS x FROM p")
 on_patch("decimate_slice", lambda p: windows.decimate(p, "time", 4), "SELECT distance, time, value AS x FROM p WHERE time % 4 = 0")
 on_patch("interp_linear", lambda p: kernels.interpolate(p, "time", [0.5, 10.25, 64.0]), "SELECT a.distance, t AS time, a.value * (1 - (t - a.time)) + b.value * (t - a.time) AS x FROM (SELECT CAST(unnest([0.5, 10.25, 64.0]) AS DOUBLE) AS t) JOIN p a ON a.time = least(CAST(floor(t) AS BIGINT), 62) JOIN p b ON b.distance = a.distance AND b.time = a.time + 1")
+on_patch("interp_nearest", lambda p: kernels.interpolate(p, "time", [0.5, 10.25, 10.75, 70.0], "nearest"), "SELECT distance, t AS time, value AS x FROM (SELECT CAST(unnest([0.5, 10.25, 10.75, 70.0]) AS DOUBLE) AS t, unnest([0, 10, 11, 63]) AS i) JOIN p ON time = i")
 
 # transforms
-on_patch("dft_naive", lambda p: spectral.amplitude_spectrum(selecting.select(p, "distance", 0, 49), "time"), "SELECT distance, k / 64.0::DOUBLE AS ft_time, sqrt(pow(sum(value * cos(2 * pi() * k * time / 64)), 2) + pow(sum(value * sin(2 * pi() * k * time / 64)), 2)) AS x FROM p, (SELECT unnest(range(33)) AS k) WHERE distance < 50 GROUP BY 1, 2")
-on_patch("dft_naive_all", lambda p: spectral.amplitude_spectrum(p, "time"), "SELECT distance, k / 64.0::DOUBLE AS ft_time, sqrt(pow(sum(value * cos(2 * pi() * k * time / 64)), 2) + pow(sum(value * sin(2 * pi() * k * time / 64)), 2)) AS x FROM p, (SELECT unnest(range(33)) AS k) GROUP BY 1, 2")
+on_patch("dft_naive", lambda p: spectral.amplitude_spectrum(p, "time"), "SELECT distance, k / 64.0::DOUBLE AS ft_time, sqrt(pow(sum(value * cos(2 * pi() * k * time / 64)), 2) + pow(sum(value * sin(2 * pi() * k * time / 64)), 2)) AS x FROM p, (SELECT unnest(range(33)) AS k) GROUP BY 1, 2")
 on_patch("pass_filter", lambda p: spectral.pass_filter(p, "time", 0.05, 0.2))
 on_patch("envelope", lambda p: spectral.envelope(p, "time"))
 on_patch("hilbert", lambda p: spectral.hilbert(p, "time"))
 on_patch("resample", lambda p: spectral.resample(p, "time", 48))
 on_patch("whiten", lambda p: spectral.whiten(p, "time"))
+on_patch("whiten_band", lambda p: spectral.whiten(p, "time", smooth=0.1, water_level=0.05, band=(0.05, 0.1, 0.3, 0.4)))
+on_patch("decimate_iir", lambda p: spectral.decimate(p, "time", 4))
+on_patch("decimate_fir", lambda p: spectral.decimate(p, "time", 2, "fir"))
+on_patch("band_energy", lambda p: spectral.band_energy(p, "time", 0.05, 0.2, 8))
+on_patch("rolling_apply", lambda p: windows.rolling_apply(p, "time", 5, lambda w: w.max(axis=1) - w.min(axis=1)), "SELECT distance, time, CASE WHEN count(value) OVER w = 5 THEN max(value) OVER w - min(value) OVER w END AS x FROM n WINDOW w AS (PARTITION BY distance ORDER BY time ROWS 4 PRECEDING)", nulls=True)
+on_patch("differentiate_4", lambda p: windows.differentiate_high(p, "time", 4), "SELECT distance, time, CASE time WHEN 0 THEN -25 / 12.0 * value + 4 * lead(value, 1) OVER w - 3 * lead(value, 2) OVER w + 4 / 3.0 * lead(value, 3) OVER w - 0.25 * lead(value, 4) OVER w WHEN 1 THEN -0.25 * lag(value, 1) OVER w - 5 / 6.0 * value + 1.5 * lead(value, 1) OVER w - 0.5 * lead(value, 2) OVER w + 1 / 12.0 * lead(value, 3) OVER w WHEN 62 THEN 0.25 * lead(value, 1) OVER w + 5 / 6.0 * value - 1.5 * lag(value, 1) OVER w + 0.5 * lag(value, 2) OVER w - 1 / 12.0 * lag(value, 3) OVER w WHEN 63 THEN 25 / 12.0 * value - 4 * lag(value, 1) OVER w + 3 * lag(value, 2) OVER w - 4 / 3.0 * lag(value, 3) OVER w + 0.25 * lag(value, 4) OVER w ELSE (lag(value, 2) OVER w - 8 * lag(value, 1) OVER w + 8 * lead(value, 1) OVER w - lead(value, 2) OVER w) / 12 END AS x FROM p WINDOW w AS (PARTITION BY distance ORDER BY time)")
+on_patch("radians_to_strain", lambda p: windows.radians_to_strain(units.set_units(p, "radians"), gauge_length=1e-6), "SELECT distance, time, value * 1550e-9 / (4 * pi() * 1.445 * 1e-6 * 0.79) AS x FROM p")
+on_patch("strain_rate", lambda p: windows.strain_rate(p, "time", 2), "SELECT distance, time, " + _DIFF.format(k=1, k2=2) + " AS x FROM p WINDOW w AS (PARTITION BY distance ORDER BY time)")
 
 on_patch("notch", lambda p: spectral.notch(p, "time", 0.125))
 on_patch("phase_weighted_stack", lambda p: spectral.phase_weighted_stack(p, "distance", "time"))
@@ -172,7 +191,6 @@ register("convert_units", lambda s, d: rounded(units.convert_units(units.set_uni
 register("time_conversion", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", times.timestamp_to_ns("ts").alias("ns"), times.seconds_to_ns("value").alias("from_seconds"), F.round(times.ns_to_seconds(times.timestamp_to_ns("ts")), 3).alias("seconds")), "SELECT event_id, epoch_us(ts) * 1000 AS ns, CAST(round(value * 1e9) AS BIGINT) AS from_seconds, round((epoch_us(ts) * 1000) / 1e9, 3) AS seconds FROM events")
 
 # complex spectra, slopes, slant stacks
-_few = lambda p: selecting.select(p, "distance", 0, 29)
 _S = "s AS (SELECT distance, k, sum(value * cos(2 * pi() * k * time / 64)) AS re, -sum(value * sin(2 * pi() * k * time / 64)) AS im FROM p, (SELECT unnest(range(33)) AS k) GROUP BY 1, 2)"
 for _m, _f, _sql in (("real", complexes.real, "re"), ("imag", complexes.imag, "im"), ("abs", complexes.modulus, "sqrt(re * re + im * im)"), ("conj", lambda s: complexes.imag(complexes.conj(s)), "-im"), ("psd", complexes.power, "(re * re + im * im) / 64"), ("ps_db", lambda s: complexes.power(s, "PS", db=True), "10 * log10((re * re + im * im) / 4096 + 2.220446049250313e-16)")):
     register(f"dft_{_m}", partial(lambda s, d, f: rounded(f(complexes.dft(patch(s, d), "time", half=True)), 5), f=_f), f"WITH {_P}, {_S} SELECT distance, k / 64.0::DOUBLE AS ft_time, round({_sql}, 5) + 0.0 AS value FROM s")
@@ -182,11 +200,9 @@ on_patch("stft", lambda p: complexes.modulus(complexes.stft(p, "time", 16)))
 on_patch("istft", lambda p: complexes.istft(complexes.stft(p, "time", 16), "time"), "SELECT CAST(distance AS DOUBLE) AS distance, CAST(time AS DOUBLE) AS time, value AS x FROM p")
 on_patch("slope_filter", lambda p: complexes.slope_filter(p, (0.1, 0.2, 2, 4)))
 on_patch("slope_mute", lambda p: shaping.slope_mute(p, (1.0, 4.0)), "SELECT distance, time, CASE WHEN distance BETWEEN time AND 4 * time THEN 0 ELSE value END AS x FROM p")
-on_patch("tau_p", lambda p: complexes.tau_p(_few(p), [0.8, 3.0]), "SELECT slowness, time, x FROM (SELECT s AS slowness, tau AS time, sum(CASE WHEN pos + 1 < 64 THEN (1 - (shift - floor(shift))) * a.value + (shift - floor(shift)) * b.value ELSE 0 END) AS x FROM (SELECT *, tau + CAST(floor(shift) AS BIGINT) AS pos FROM (SELECT s, tau, x, abs(s) * CASE WHEN s < 0 THEN 29 - x ELSE x END AS shift FROM (SELECT unnest([-1 / 0.8::DOUBLE, -1 / 3::DOUBLE, 1 / 3::DOUBLE, 1 / 0.8::DOUBLE]) AS s), (SELECT unnest(range(64)) AS tau), (SELECT unnest(range(30)) AS x))) g LEFT JOIN p a ON a.distance = g.x AND a.time = g.pos LEFT JOIN p b ON b.distance = g.x AND b.time = g.pos + 1 GROUP BY 1, 2)")
-on_patch("tau_p_all", lambda p: complexes.tau_p(p, [0.8, 3.0]), "SELECT slowness, time, x FROM (SELECT s AS slowness, tau AS time, sum(CASE WHEN pos + 1 < 64 THEN (1 - (shift - floor(shift))) * a.value + (shift - floor(shift)) * b.value ELSE 0 END) AS x FROM (SELECT *, tau + CAST(floor(shift) AS BIGINT) AS pos FROM (SELECT s, tau, x, abs(s) * CASE WHEN s < 0 THEN n - 1 - x ELSE x END AS shift FROM (SELECT unnest([-1 / 0.8::DOUBLE, -1 / 3::DOUBLE, 1 / 3::DOUBLE, 1 / 0.8::DOUBLE]) AS s), (SELECT unnest(range(64)) AS tau), (SELECT DISTINCT distance AS x FROM p), (SELECT count(DISTINCT distance) AS n FROM p))) g LEFT JOIN p a ON a.distance = g.x AND a.time = g.pos LEFT JOIN p b ON b.distance = g.x AND b.time = g.pos + 1 GROUP BY 1, 2)")
+on_patch("tau_p", lambda p: complexes.tau_p(p, [0.8, 3.0]), "SELECT slowness, time, x FROM (SELECT s AS slowness, tau AS time, sum(CASE WHEN pos + 1 < 64 THEN (1 - (shift - floor(shift))) * a.value + (shift - floor(shift)) * b.value ELSE 0 END) AS x FROM (SELECT *, tau + CAST(floor(shift) AS BIGINT) AS pos FROM (SELECT s, tau, x, abs(s) * CASE WHEN s < 0 THEN n - 1 - x ELSE x END AS shift FROM (SELECT unnest([-1 / 0.8::DOUBLE, -1 / 3::DOUBLE, 1 / 3::DOUBLE, 1 / 0.8::DOUBLE]) AS s), (SELECT unnest(range(64)) AS tau), (SELECT DISTINCT distance AS x FROM p), (SELECT count(DISTINCT distance) AS n FROM p))) g LEFT JOIN p a ON a.distance = g.x AND a.time = g.pos LEFT JOIN p b ON b.distance = g.x AND b.time = g.pos + 1 GROUP BY 1, 2)")
 on_patch("dispersion", lambda p: complexes.dispersion(p, [1.0, 2.0, 5.0], band=(0.1, 0.4)))
-on_patch("median_2d", lambda p: kernels.median_nd(_few(p), {"distance": 3, "time": 3}), "SELECT distance, time, median(value) AS x FROM (SELECT o.distance, o.time, q.value FROM (SELECT distance, time, unnest(range(-1, 2)) AS dk FROM p WHERE distance < 30) o, (SELECT unnest(range(-1, 2)) AS tk), p q WHERE q.distance = CASE WHEN o.distance + dk < 0 THEN 0 WHEN o.distance + dk > 29 THEN 29 ELSE o.distance + dk END AND q.time = CASE WHEN o.time + tk < 0 THEN 0 WHEN o.time + tk > 63 THEN 63 ELSE o.time + tk END) GROUP BY 1, 2")
-on_patch("median_2d_all", lambda p: kernels.median_nd(p, {"distance": 3, "time": 3}), "SELECT distance, time, median(value) AS x FROM (SELECT o.distance, o.time, q.value FROM (SELECT distance, time, unnest(range(-1, 2)) AS dk FROM p) o, (SELECT unnest(range(-1, 2)) AS tk), (SELECT max(distance) AS m FROM p), p q WHERE q.distance = CASE WHEN o.distance + dk < 0 THEN 0 WHEN o.distance + dk > m THEN m ELSE o.distance + dk END AND q.time = CASE WHEN o.time + tk < 0 THEN 0 WHEN o.time + tk > 63 THEN 63 ELSE o.time + tk END) GROUP BY 1, 2")
+on_patch("median_2d", lambda p: kernels.median_nd(p, {"distance": 3, "time": 3}), "SELECT distance, time, median(value) AS x FROM (SELECT o.distance, o.time, q.value FROM (SELECT distance, time, unnest(range(-1, 2)) AS dk FROM p) o, (SELECT unnest(range(-1, 2)) AS tk), (SELECT max(distance) AS m FROM p), p q WHERE q.distance = CASE WHEN o.distance + dk < 0 THEN 0 WHEN o.distance + dk > m THEN m ELSE o.distance + dk END AND q.time = CASE WHEN o.time + tk < 0 THEN 0 WHEN o.time + tk > 63 THEN 63 ELSE o.time + tk END) GROUP BY 1, 2")
 register("gaps", lambda s, d: robust.gaps(s.read.parquet(f"{d}/events.parquet").select("user_id", micros("ts").alias("start")).distinct(), ["user_id"], "start", 5.0), "WITH e AS (SELECT DISTINCT user_id, epoch_us(ts) AS start FROM events), n AS (SELECT *, lead(start) OVER (PARTITION BY user_id ORDER BY start) AS following FROM e) SELECT user_id, start, following FROM (SELECT *, median(following - start) OVER (PARTITION BY user_id) AS m FROM n WHERE following IS NOT NULL) WHERE following - start > 5 * m")
 register("fence", lambda s, d: cells(s, d).groupBy("distance").agg(*(F.round(c, 6).alias(n) for c, n in zip(robust.fence("value"), ("low", "high")))), f"WITH {_P}, q AS (SELECT distance, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b, min(value) AS l, max(value) AS h FROM p GROUP BY 1) SELECT distance, round(greatest(a - 1.5 * (b - a), l), 6) AS low, round(least(b + 1.5 * (b - a), h), 6) AS high FROM q")
 

@@ -49,9 +49,14 @@ def test_median_filter_and_hampel(spark, data):
     view = np.lib.stride_tricks.sliding_window_view(padded, 5, axis=1)
     want = np.median(view, axis=2)
     assert np.allclose(array(kernels.median(p, "time", 5)), want.ravel())
-    mad = np.median(np.abs(view - want[:, :, None]), axis=2)
-    scale = np.where(mad == 0, np.finfo(float).eps, mad) * 1.4826
-    assert np.allclose(array(kernels.hampel(p, "time", 5)), np.where(np.abs(data - want) / scale > 3, want, data).ravel())
+    around = lambda x, shape: np.median(np.lib.stride_tricks.sliding_window_view(np.pad(x, [(k // 2, k // 2) for k in shape], mode="symmetric"), shape), axis=(2, 3))
+    for widths, exact in (({"time": 5}, False), ({"time": 5, "distance": 3}, False), ({"time": 5, "distance": 3}, True)):
+        box = (widths.get("distance", 1), widths["time"])
+        medians = (lambda x: around(x, box)) if exact else (lambda x: around(around(x, (1, box[1])), (box[0], 1)))
+        m = medians(data)
+        mad = medians(np.abs(data - m))
+        clean = np.where(np.abs(data - m) / np.where(mad == 0, np.finfo(float).eps, mad) > 1.5, m, data)
+        assert np.allclose(array(kernels.hampel(p, widths, 1.5, approximate=not exact)), clean.ravel())
 
 
 def test_nearest_border(spark, data):
@@ -81,6 +86,55 @@ def test_pass_filter_keeps_its_band(spark):
     assert np.abs(out - slow)[50:-50].max() < 0.01
 
 
+def test_recursive_filters_of_decimation():
+    f = np.array([0.0, 0.1, 0.2, 0.4, 0.9])
+    for sections in (spectral.chebyshev(8, 0.05, 0.2), spectral.chebyshev(5, 0.5, 0.2)):
+        z = np.exp(1j * np.pi * f)
+        h = np.abs(np.prod([np.polyval(s[:3], z) / np.polyval(s[3:], z) for s in sections], axis=0))
+        ripple = 10 ** (-0.05 / 20) if len(sections) == 4 else 10 ** (-0.5 / 20)
+        assert (h[:2] <= 1 + 1e-9).all() and (h[:2] >= ripple - 1e-9).all() and abs(h[2] - ripple) < 1e-9 and (h[3:] < 0.02).all()
+
+
+def test_decimation_whitening_and_energy(spark):
+    t = np.arange(400)
+    slow, fast = np.sin(2 * np.pi * 0.01 * t), np.sin(2 * np.pi * 0.4 * t)
+    p = make(spark, np.array([slow + fast]))
+    for kind in ("iir", "fir"):
+        out = array(spectral.decimate(p, "time", 4, kind))
+        assert np.abs(out - slow[::4])[20:-20].max() < 0.02
+    assert np.allclose(array(spectral.decimate(p, "time", 4, None)), (slow + fast)[::4])
+    white = np.abs(np.fft.rfft(array(spectral.whiten(p, "time"))))
+    assert np.allclose(white, 1)
+    band = np.abs(np.fft.rfft(array(spectral.whiten(p, "time", band=(0.1, 0.3)))))
+    f = np.arange(201) / 400
+    assert np.allclose(band, (f >= 0.1) & (f <= 0.3), atol=1e-9)
+    energy = array(spectral.band_energy(p, "time", None, 0.1, 100, db=False))
+    assert np.isnan(energy[:99]).all() and abs(energy[250] - 0.5**0.5) < 0.01
+
+
+def test_recursive_kurtosis(spark, data):
+    got = array(spectral.recursive_kurtosis(make(spark, data), "time", 8)).reshape(data.shape)
+    for row, out in zip(data, got):
+        c, mean, var, kurt = 1 - 1 / 8, 0.0, 0.0, 0.0
+        for x, y in zip(row, out):
+            mean = c * mean + (1 - c) * x
+            var = c * var + (1 - c) * (x - mean) ** 2
+            kurt = c * kurt + (1 - c) * (x - mean) ** 4 / max(var, row.var()) ** 2
+            assert abs(kurt - y) < 1e-9
+
+
+def test_windows_of_tapers():
+    from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
+
+    s = SparkSession.getActiveSession()
+    for kind, want in (("hamming", np.hamming(9)), ("blackman", np.blackman(9)), ("hann", np.hanning(9)), ("bartlett", np.bartlett(9)), ("boxcar", np.ones(9))):
+        assert np.allclose([r.w for r in s.range(9).select(kernels.window_value(kind, F.col("id"), 9).alias("w")).collect()], want)
+    for kind in ("barthann", "bohman", "parzen", "nuttall", "blackmanharris", "triang", "ramp", "cos"):
+        w = [r.w for r in s.range(9).select(kernels.window_value(kind, F.col("id"), 9).alias("w")).collect()]
+        assert np.allclose(w, w[::-1]) and abs(w[4] - 1) < 1e-6 and w[0] < 0.25 and all(a <= b for a, b in zip(w, w[1:5]))
+
+
 def test_envelope_and_resample(spark):
     t = np.arange(64)
     wave = np.cos(2 * np.pi * 4 * t / 64)
