@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -103,16 +104,159 @@ def instructions(chunks: DataFrame, sources: DataFrame, dim: str, group: list[st
     return met.select(*group, "chunk_min", "chunk_max", "patch_id", first.alias(f"{dim}_min"), F.least("chunk_max", "high").alias(f"{dim}_max"))
 
 
+def numbered(df: DataFrame, by: list[str], name: str, rows: int = 100_000) -> DataFrame:
+    """Rows numbered from 0 in the order of `by`, whose first column is a number and none of which is null.
+
+    Ranges of about `rows` rows, with bounds from one pass, are numbered on their own; the rows before each range are
+    added.  No task holds more than a range (or the rows of one value).
+    """
+    first = by[0]
+    points = [F.lit((i + 1) / 1000) for i in range(999)]
+    seen = df.agg(F.count("*").alias("n"), F.percentile_approx(first, F.array(*points), F.lit(10_000)).alias("p")).first()
+    parts = min(1000, max(1, -(-seen.n // rows)))
+    bounds = sorted({seen.p[round(k * 1000 / parts) - 1] for k in range(1, parts)}) if parts > 1 else []
+    place = F.lit(0)
+    for b in bounds:
+        place = place + F.when(F.col(first) > F.lit(b), 1).otherwise(0)
+    ranged = df.withColumn("_range", place)
+    before, at = {}, 0
+    for r in sorted(ranged.groupBy("_range").count().collect()) if bounds else []:  # 1000 rows at most
+        before[r["_range"]], at = at, at + r["count"]
+    offset = F.element_at(F.create_map(*(F.lit(x).cast("long") for kv in before.items() for x in kv)), F.col("_range").cast("long")) if before else F.lit(0)
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*by)) - 1 + offset
+    return ranged.withColumn(name, place.cast("long")).drop("_range")
+
+
 def split(df: DataFrame, size: int, by: list[str]) -> DataFrame:
     """Consecutive blocks of `size` catalog rows in the order of `by`."""
-    return df.withColumn("block", F.floor((F.row_number().over(Window.orderBy(*by)) - 1) / size))
+    return numbered(df, by, "_place").withColumn("block", F.floor(F.col("_place") / size)).drop("_place")
 
 
-def combine_attrs(df: DataFrame, group: list[str], attrs: list[str], order: str) -> DataFrame:
-    """Attributes that agree within a group; others become null."""
+def combine_attrs(df: DataFrame, group: list[str], attrs: list[str], order: str, conflict: str = "drop") -> DataFrame:
+    """Attributes that agree within a group; of others, null (drop), the first that is there (keep_first), or an error (raise)."""
+    if conflict not in ("drop", "keep_first", "raise"):
+        raise ParameterError(f"{conflict} is none of drop, keep_first, raise")
+    if conflict == "keep_first":
+        return df.groupBy(*group).agg(*(F.min_by(a, F.when(F.col(a).isNotNull(), F.col(order))).alias(a) for a in attrs))
+    if conflict == "raise":
+        bad = df.groupBy(*group).agg(*((F.count_distinct(a) > 1).alias(a) for a in attrs)).where(reduce(lambda x, y: x | y, (F.col(a) for a in attrs)))
+        if not bad.isEmpty():
+            raise ChunkError("attributes of a group differ")
     return df.groupBy(*group).agg(*(F.when(F.count_distinct(a) == 1, F.min_by(a, order)).alias(a) for a in attrs))
 
 
 def stack(cells: DataFrame, keys: list[str]) -> DataFrame:
     """The sum of patches, cell by cell."""
     return cells.groupBy(*keys).agg(F.sum("value").alias("value"))
+
+
+def sampling_groups(df: DataFrame, dim: str, name: str = "sampling", tolerance: float = 0.05) -> DataFrame:
+    """A number for steps that lie close: sorted, a new group begins where a step is over 5 % above the one before."""
+    steps = df.select(f"{dim}_step").distinct()  # as many rows as there are different steps
+    w = Window.orderBy(f"{dim}_step")
+    before = F.lag(f"{dim}_step").over(w)
+    jump = F.coalesce((F.col(f"{dim}_step") - before) / before > tolerance, F.lit(False)).cast("long")
+    groups = steps.withColumn("_jump", jump).withColumn(name, F.sum("_jump").over(w)).drop("_jump")
+    return df.join(groups, f"{dim}_step")
+
+
+def merged_cells(chunks: DataFrame, sources: DataFrame, cells: DataFrame, dim: str, group: list[str], bucket: int) -> DataFrame:
+    """The samples of each chunk: (group, chunk_min, chunk_max, dim, value); of sources that overlap the later one counts.
+
+    cells: (patch_id, dim, value).  The instructions say which samples of which source belong to a chunk.
+    """
+    wanted = instructions(chunks, sources, dim, group, bucket).withColumnsRenamed({f"{dim}_min": "low", f"{dim}_max": "high"})
+    starts = sources.select("patch_id", F.col(f"{dim}_min").alias("starts"))
+    met = cells.join(wanted, "patch_id").where(F.col(dim).between(F.col("low"), F.col("high"))).join(starts, "patch_id")
+    return met.groupBy(*group, "chunk_min", "chunk_max", dim).agg(F.max_by("value", F.struct("starts", "patch_id")).alias("value"))
+
+
+@dataclass(frozen=True)
+class Spool:
+    """A catalog of patches in an order, and perhaps their cells (patch_id, ..., value).  Everything is lazy."""
+
+    catalog: DataFrame
+    order: tuple[str, ...] = ("time_min", "patch_id")
+    cells: DataFrame | None = None
+
+    def contents(self) -> DataFrame:
+        """The catalog with `place`, from 0 in the spool's order."""
+        return numbered(self.catalog, list(self.order), "place")
+
+    def select(self, **wanted) -> Spool:
+        """Catalog rows that match, their intervals cut; cells of what is left, within the intervals."""
+        catalog = adjust_segments(self.catalog, **wanted)
+        cells = self.cells
+        if cells is not None:
+            dims = [k for k in wanted if k not in self.catalog.columns and f"{k}_min" in self.catalog.columns and k in cells.columns]
+            limits = catalog.select("patch_id", *(c for d in dims for c in (F.col(f"{d}_min").alias(f"_{d}_low"), F.col(f"{d}_max").alias(f"_{d}_high"))))
+            cells = cells.join(limits, "patch_id")
+            for d in dims:
+                cells = cells.where(F.col(d).between(F.col(f"_{d}_low"), F.col(f"_{d}_high"))).drop(f"_{d}_low", f"_{d}_high")
+        return replace(self, catalog=catalog.drop("modified"), cells=cells)
+
+    def sort(self, name: str) -> Spool:
+        """By an attribute, or the beginning of a dimension."""
+        column = name if name in self.catalog.columns else f"{name}_min"
+        if column not in self.catalog.columns:
+            raise ParameterError(f"{name} is no column and no dimension")
+        return replace(self, order=(column, *(c for c in ("time_min", "patch_id") if c != column and c in self.catalog.columns)))
+
+    def __getitem__(self, wanted: int | slice | list[int]) -> Spool:
+        place, n = F.col("place"), None
+        if isinstance(wanted, int) and wanted >= 0:
+            keep = place == wanted
+        elif isinstance(wanted, list):
+            n = self.catalog.count() if any(i < 0 for i in wanted) else 0
+            keep = place.isin([i % n if i < 0 else i for i in wanted])
+        else:
+            n = self.catalog.count()
+            r = range(*wanted.indices(n)) if isinstance(wanted, slice) else [wanted + n]
+            keep = place.isin(list(r)) if not isinstance(r, range) else place.between(min(r, default=0), max(r, default=-1)) & ((place - (r[0] if len(r) else 0)) % abs(r.step) == 0)
+        catalog = self.contents().where(keep).drop("place")
+        cells = self.cells and self.cells.join(catalog.select("patch_id"), "patch_id", "left_semi")
+        return replace(self, catalog=catalog, cells=cells)
+
+    def __len__(self) -> int:
+        return self.catalog.count()
+
+    def names(self, prefix: str = "DAS", attrs: tuple[str, ...] = ("station", "tag")) -> DataFrame:
+        parts = [F.coalesce(F.col(a).cast("string"), F.lit("")) for a in (*attrs, "time_min", "time_max")]
+        return self.catalog.select("patch_id", F.concat_ws("__", F.lit(prefix), *parts).alias("name"))
+
+    def split(self, size: int) -> DataFrame:
+        return split(self.catalog, size, list(self.order))
+
+    def chunk(self, dim: str, group: list[str], **options) -> DataFrame:
+        return chunk(self.catalog, dim, group, **options)
+
+    def map(self, function, schema: str) -> DataFrame:
+        """function(pandas frame of one patch's cells) -> pandas frame, for every patch."""
+        if self.cells is None:
+            raise ParameterError("the spool has no cells")
+        own = self.cells.join(self.catalog.select("patch_id"), "patch_id", "left_semi")  # patches without cells are left out
+        return own.groupBy("patch_id").applyInPandas(function, schema)
+
+    def equals(self, other: Spool) -> bool:
+        """The same catalog rows, as often, whatever the plans behind them."""
+        if sorted(self.catalog.columns) != sorted(other.catalog.columns):
+            return False
+        right = other.catalog.select(*self.catalog.columns)
+        return self.catalog.exceptAll(right).isEmpty() and right.exceptAll(self.catalog).isEmpty()
+
+
+def spool(source, spark=None) -> Spool:
+    """A spool as it is, of a catalog frame, or of the patches in a folder written by write_spool()."""
+    if isinstance(source, Spool):
+        return source
+    if isinstance(source, DataFrame):
+        return Spool(source)
+    if isinstance(source, str) and spark is not None:
+        return Spool(spark.read.parquet(f"{source}/catalog"), cells=spark.read.parquet(f"{source}/cells"))
+    raise ParameterError("a spool is made of a spool, a catalog, or a folder and a session")
+
+
+def write_spool(own: Spool, path: str, mode: str = "append") -> None:
+    """Catalog and cells as Parquet; further spools are appended, and readers see them after the next read."""
+    own.cells.sortWithinPartitions("patch_id").write.mode(mode).parquet(f"{path}/cells")
+    own.catalog.write.mode(mode).parquet(f"{path}/catalog")

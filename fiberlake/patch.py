@@ -58,6 +58,52 @@ class Coord:
         ends = sorted((0 if low is None else to(low), self.n - 1 if high is None else to(high)))
         return max(0, math.ceil(ends[0])), min(self.n - 1, math.floor(ends[1]))
 
+    def coord_range(self, extend: bool = True) -> float:
+        """From the least to the greatest label, and a step more."""
+        return abs(self.stop - self.start) + (abs(self.step) if extend else 0)
+
+    def update_limits(self, min=None, max=None, step=None) -> Coord:
+        """Two of least label, greatest label and step at most: one end moves the labels, both stretch them.
+
+        Stretched labels fill min up to, but without, max.
+        """
+        if None not in (min, max, step):
+            raise ParameterError("two limits at most")
+        if not self.even:
+            raise CoordError("an evenly sampled coordinate is needed")
+        if min is not None and max is not None:
+            return replace(self, start=min, step=(max - min) / self.n)
+        new = replace(self, step=step) if step is not None else self
+        if min is not None:
+            return replace(new, start=min if new.step > 0 else min - (new.n - 1) * new.step)
+        if max is not None:
+            return replace(new, start=max - (new.n - 1) * new.step if new.step > 0 else max)
+        return new
+
+    def change_length(self, n: int) -> Coord:
+        return replace(self, n=n)
+
+    def sort(self, reverse: bool = False) -> Coord:
+        """The same labels, ascending or descending."""
+        return self if (self.step < 0) == reverse else replace(self, start=self.stop, step=-self.step)
+
+    def next_index(self, value: float, allow_out: bool = False) -> int:
+        """The first index whose label is at or after a value."""
+        place = math.ceil(self.place(value))
+        if not 0 <= place < self.n and not allow_out:
+            raise CoordError(f"{value} is outside")
+        return min(max(place, 0), self.n)
+
+    def approx_equal(self, other: Coord) -> bool:
+        if not self.even or not other.even:
+            return self == other
+        near = lambda a, b: math.isclose(a, b, rel_tol=1e-5, abs_tol=1e-8)
+        return self.n == other.n and self.units == other.units and near(self.start, other.start) and near(self.stop, other.stop)
+
+    def summary(self) -> dict:
+        ends = (min(self.start, self.stop), max(self.start, self.stop)) if self.even and self.n else (None, None)
+        return {"min": ends[0], "max": ends[1], "step": self.step, "units": self.units, "n": self.n}
+
     def samples_in(self, width: float, samples: bool = False) -> int:
         n = int(width) if samples else math.ceil(round(width / abs(self.step), 10))
         if n <= 0 or self.n is not None and n > self.n:
@@ -65,6 +111,14 @@ class Coord:
         return n
 
 
+@dataclass(frozen=True)
+class Aux:
+    """A coordinate that is no dimension: a table of its dimensions' labels and, under its own name, its values."""
+
+    dims: tuple[str, ...]
+    df: DataFrame
+
+
 @dataclass(frozen=True)
 class Patch:
     df: DataFrame
@@ -72,6 +126,7 @@ class Patch:
     coords: dict[str, Coord]
     attrs: dict[str, str] = field(default_factory=dict)
     history: tuple[str, ...] = ()
+    aux: dict[str, Aux] = field(default_factory=dict)
 
     @classmethod
     def from_cells(cls, df: DataFrame, dims: tuple[str, ...], coords: dict[str, Coord], **attrs: str) -> Patch:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fiberlake.functions import robust, times, units
-from fiberlake.operators import aggregating, arithmetic, complexes, kernels, selecting, shaping, spectral, spool, windows
+from fiberlake.operators import aggregating, arithmetic, complexes, coordinates, kernels, selecting, shaping, spectral, spool, windows
 from fiberlake.patch import Coord, Patch
 from fiberlake.streaming import streams
 
@@ -86,6 +86,34 @@ for _m, _sql in _SQL_AGG.items():
     on_patch(f"agg_{_m}", partial(lambda p, m: aggregating.aggregate(p, "time", m), m=_m), f"SELECT distance, {_sql} AS x FROM n GROUP BY 1", nulls=True)
 on_patch("ufunc_accumulate", lambda p: aggregating.accumulate(p, "time"), "SELECT distance, time, sum(value) OVER (PARTITION BY distance ORDER BY time) AS x FROM p")
 
+on_patch("agg_function", lambda p: aggregating.aggregate(p, "time", lambda x: (x**2).sum(axis=1)), "SELECT distance, sum(value * value) AS x FROM p GROUP BY 1")
+on_patch("agg_two_dims", lambda p: aggregating.aggregate(p, ("time", "distance"), "median", keep="empty"), "SELECT CAST(NULL AS DOUBLE) AS distance, CAST(NULL AS DOUBLE) AS time, median(m) AS x FROM (SELECT median(value) AS m FROM p GROUP BY distance)")
+on_patch("agg_keep_mean", lambda p: aggregating.aggregate(p, "time", "max", keep="mean"), "SELECT distance, 31.5::DOUBLE AS time, max(value) AS x FROM p GROUP BY distance")
+on_patch("ufunc_reduce", lambda p: aggregating.reduce(p, "time", "maximum"), "SELECT distance, max(value) AS x FROM p GROUP BY 1")
+on_patch("percentile", lambda p: aggregating.percentile(p, "time", 30), "SELECT distance, quantile_cont(value, 0.3) AS x FROM p GROUP BY 1")
+
+# coordinates beside dimensions
+_lat = lambda p: coordinates.update_coords(p, latitude=("distance", (F.col("distance") * 7 % 100).cast("double")))
+on_patch("select_by_coord", lambda p: coordinates.select_by(_lat(p), "latitude", 20, 40), "SELECT distance, time, value AS x FROM p WHERE distance * 7 % 100 BETWEEN 20 AND 40")
+on_patch("set_dims", lambda p: coordinates.set_dims(coordinates.update_coords(p, depth=("time", F.col("time") * 2.5)), time="depth"), "SELECT distance, CAST(time * 2.5 AS DOUBLE) AS depth, value AS x FROM p")
+register("get_array", lambda s, d: coordinates.get_array(_lat(patch(s, d)), "latitude"), f"WITH {_P} SELECT DISTINCT distance, distance AS distance_idx, CAST(distance * 7 % 100 AS DOUBLE) AS latitude FROM p")
+register("sort_by_coord", lambda s, d: coordinates.sort_by(_lat(patch(s, d)), "latitude").df.select("distance", "distance_idx", "time", F.round("value", 6).alias("value")), f"WITH {_P}, r AS (SELECT distance, row_number() OVER (ORDER BY distance * 7 % 100, distance) - 1 AS distance_idx FROM (SELECT DISTINCT distance FROM p)) SELECT distance, distance_idx, time, round(value, 6) AS value FROM p JOIN r USING (distance)")
+register("add_distance_to", lambda s, d: coordinates.get_array(coordinates.add_distance_to(coordinates.update_coords(patch(s, d), x=("distance", F.col("distance") * 2.0), y=("distance", F.col("distance") % 10 * 1.0)), {"x": 10, "y": 3}), "origin_distance").withColumn("origin_distance", F.round("origin_distance", 6)), f"WITH {_P} SELECT DISTINCT distance, distance AS distance_idx, round(sqrt(pow(10 - distance * 2.0, 2) + pow(3 - distance % 10, 2)), 6) AS origin_distance FROM p")
+
+
+def _points(extrapolate: bool) -> Query:
+    import pandas as pd
+
+    table = pd.DataFrame({"distance": [10, 60, 200], "x": [0.0, 100.0, -40.0]})
+    return lambda s, d: coordinates.get_array(coordinates.coords_from_points(patch(s, d), "distance", table, extrapolate), "x").withColumn("x", F.round("x", 6) + F.lit(0.0))
+
+
+_LINES = "CASE WHEN distance < 60 THEN (distance - 10) * 2.0 ELSE 100 - (distance - 60) END"
+register("coords_from_points", _points(False), f"WITH {_P} SELECT DISTINCT distance, distance AS distance_idx, CASE WHEN distance BETWEEN 10 AND 200 THEN round(CAST({_LINES} AS DOUBLE), 6) + 0.0 END AS x FROM p")
+register("coords_extrapolated", _points(True), f"WITH {_P} SELECT DISTINCT distance, distance AS distance_idx, round(CAST({_LINES} AS DOUBLE), 6) + 0.0 AS x FROM p")
+on_patch("update_attrs", lambda p: coordinates.update_attrs(p, time_min=100, tag="x"), "SELECT distance, time + 100 AS time, value AS x FROM p")
+on_patch("broadcast_to", lambda p: coordinates.broadcast_to(aggregating.aggregate(p, "time", "mean"), shot=[1, 2, 3]), "SELECT distance, CAST(s AS INTEGER) AS shot, avg(value) AS x FROM p, (SELECT unnest([1, 2, 3]) AS s) GROUP BY 1, 2")
+
 # windows
 _ROLL = {"mean": "avg(value)", "min": "min(value)", "max": "max(value)", "sum": "sum(value)", "std": "stddev_pop(value)", "median": "quantile_cont(value, 0.5)"}
 for _m, _sql in _ROLL.items():
@@ -249,6 +277,26 @@ register("attrs_combine", lambda s, d: spool.combine_attrs(catalog(s, d), ["stat
 register("patch_names", lambda s, d: catalog(s, d).select("patch_id", F.concat_ws("__", F.lit("DAS"), "station", "tag", F.col("time_min").cast("string"), F.col("time_max").cast("string")).alias("name")), f"WITH {_C} SELECT patch_id, 'DAS__' || station || '__' || tag || '__' || time_min || '__' || time_max AS name FROM c")
 register("stack", lambda s, d: spool.stack(cells(s, d).withColumn("shot", F.col("distance") % 10), ["shot", "time"]).select("shot", "time", F.round("value", 4).alias("value")), f"WITH {_P} SELECT distance % 10 AS shot, time, round(sum(value), 4) AS value FROM p GROUP BY 1, 2")
 
+_spool = lambda s, d: spool.Spool(catalog(s, d))
+register("spool_sort", lambda s, d: _spool(s, d).sort("time_max").contents().select("patch_id", "place"), f"WITH {_C} SELECT patch_id, row_number() OVER (ORDER BY time_max, time_min, patch_id) - 1 AS place FROM c")
+register("spool_slice", lambda s, d: _spool(s, d)[5:50:3].catalog.select("patch_id"), f"WITH {_C}, o AS (SELECT patch_id, row_number() OVER (ORDER BY time_min, patch_id) - 1 AS place FROM c) SELECT patch_id FROM o WHERE place >= 5 AND place < 50 AND (place - 5) % 3 = 0")
+register("spool_pick", lambda s, d: _spool(s, d)[[0, 7, -1]].catalog.select("patch_id"), f"WITH {_C}, o AS (SELECT patch_id, row_number() OVER (ORDER BY time_min, patch_id) - 1 AS place FROM c) SELECT patch_id FROM o WHERE place IN (0, 7, (SELECT count(*) - 1 FROM c))")
+register("spool_names", lambda s, d: _spool(s, d).names(), f"WITH {_C} SELECT patch_id, 'DAS__' || station || '__' || tag || '__' || time_min || '__' || time_max AS name FROM c")
+register("attrs_keep_first", lambda s, d: spool.combine_attrs(catalog(s, d), ["station"], ["tag", "time_step"], "time_min", "keep_first"), f"WITH {_C} SELECT station, arg_min(tag, time_min) AS tag, arg_min(time_step, time_min) AS time_step FROM c GROUP BY 1")
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the samples of the recordings in catalog()."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "value")
+    return e.select(F.concat_ws("/", F.col("user_id").cast("string"), F.to_date("ts").cast("string")).alias("patch_id"), micros("ts").alias("time"), "value")
+
+
+register("spool_select_cells", lambda s, d: spool.Spool(catalog(s, d), cells=_samples(s, d)).select(station="sta_1*", time=(_LOW, _HIGH)).cells.groupBy("patch_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")), "SELECT user_id || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) AS patch_id, count(*) AS n, round(sum(value), 2) AS total FROM events WHERE starts_with(user_id::VARCHAR, '1') AND epoch_us(ts) BETWEEN " + f"{_LOW} AND {_HIGH} GROUP BY 1")
+register("spool_map", lambda s, d: spool.Spool(catalog(s, d), cells=_samples(s, d)).map(lambda x: x.groupby("patch_id", as_index=False).agg(n=("value", "size"), most=("value", "max")).round(6), "patch_id string, n long, most double"), "SELECT user_id || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) AS patch_id, count(*) AS n, round(max(value), 6) AS most FROM events GROUP BY 1")
+register("merge_cells", lambda s, d: spool.merged_cells(spool.chunk(catalog(s, d), "time", ["station"], length=_DAY, keep_partial=True, tolerance=_TOL), catalog(s, d), _samples(s, d), "time", ["station"], _DAY).groupBy("station", "chunk_min").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")), f"WITH {_C}, {_ISLAND.format(tol=_DAY)}, k AS (" + _CUT.format(n=_DAY, stride=_DAY) + " WHERE s + 1000000 <= z), e AS (SELECT DISTINCT ON (user_id, ts) 'sta_' || user_id AS station, epoch_us(ts) AS t, value FROM events) SELECT k.station, k.time_min AS chunk_min, count(*) AS n, round(sum(value), 2) AS total FROM k JOIN e ON e.station = k.station AND t BETWEEN k.time_min AND k.time_max GROUP BY 1, 2")
+register("sampling_groups", lambda s, d: spool.sampling_groups(catalog(s, d).withColumn("time_step", F.length("station") * 1000 + F.length("tag") * 10), "time").select("patch_id", "sampling"), f"WITH {_C}, t AS (SELECT patch_id, length(station) * 1000 + length(tag) * 10 AS step FROM c), g AS (SELECT step, sum(j) OVER (ORDER BY step) AS sampling FROM (SELECT step, CASE WHEN (step - lag(step) OVER (ORDER BY step)) / lag(step) OVER (ORDER BY step) > 0.05 THEN 1 ELSE 0 END AS j FROM (SELECT DISTINCT step FROM t))) SELECT patch_id, CAST(sampling AS BIGINT) AS sampling FROM t JOIN g USING (step)")
+register("span_to_ns", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", times.span_to_ns(F.concat_ws(" ", (F.col("event_id") % 90 - 5).cast("string"), F.element_at(F.array(*map(F.lit, ("seconds", "minute", "milliseconds", "parsecs"))), (F.col("event_id") % 4 + 1).cast("int")))).alias("ns")), "SELECT event_id, CAST((event_id % 90 - 5) * CASE event_id % 4 WHEN 0 THEN 1000000000 WHEN 1 THEN 60000000000 WHEN 2 THEN 1000000 END AS BIGINT) AS ns FROM events")
+
 # streams, run until what is there has been read
 register("stream_tumbling", lambda s, d: streams.tumbling(s, f"{d}/events.parquet"), "SELECT epoch_us(time_bucket(INTERVAL 1 day, ts)) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 register("stream_sliding", lambda s, d: streams.tumbling(s, f"{d}/events.parquet", slide="12 hours"), "SELECT epoch_us(start) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT *, unnest([time_bucket(INTERVAL 12 hours, ts), time_bucket(INTERVAL 12 hours, ts) - INTERVAL 12 hours]) AS start FROM events) GROUP BY ALL")
