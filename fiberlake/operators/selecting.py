@@ -91,18 +91,6 @@ def roll(patch: Patch, dim: str, shift: int) -> Patch:
     return patch.new(df.withColumn(dim, label(patch.coords[dim], dim)), "roll")
 
 
-def next_fast_length(n: int) -> int:
-    """The least number from n on without prime factors above 5."""
-    while True:
-        m = n
-        for p in (2, 3, 5):
-            while m % p == 0:
-                m //= p
-        if m == 1:
-            return n
-        n += 1
-
-
 def pad(patch: Patch, dim: str, before: int = 0, after: int = 0, value: float = 0.0) -> Patch:
     """Adds samples at both ends; the new ones carry the constant and extended labels."""
     coord = patch.coords[dim]

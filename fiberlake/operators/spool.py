@@ -105,19 +105,21 @@ def instructions(chunks: DataFrame, sources: DataFrame, dim: str, group: list[st
 
 
 def numbered(df: DataFrame, by: list[str], name: str, rows: int = 100_000) -> DataFrame:
-    """Rows numbered from 0 in the order of `by`, whose first column is a number and none of which is null.
+    """Rows numbered from 0 in the order of `by`, whose first column is a number or a text and none of which is null.
 
     Ranges of about `rows` rows, with bounds from one pass, are numbered on their own; the rows before each range are
     added.  No task holds more than a range (or the rows of one value).
     """
-    first = by[0]
+    first = F.col(by[0])
+    if df.schema[by[0]].dataType.typeName() == "string":  # its first six bytes, as a number
+        first = F.conv(F.rpad(F.hex(F.substring(first.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("long")
     points = [F.lit((i + 1) / 1000) for i in range(999)]
     seen = df.agg(F.count("*").alias("n"), F.percentile_approx(first, F.array(*points), F.lit(10_000)).alias("p")).first()
     parts = min(1000, max(1, -(-seen.n // rows)))
     bounds = sorted({seen.p[round(k * 1000 / parts) - 1] for k in range(1, parts)}) if parts > 1 else []
     place = F.lit(0)
     for b in bounds:
-        place = place + F.when(F.col(first) > F.lit(b), 1).otherwise(0)
+        place = place + F.when(first > F.lit(b), 1).otherwise(0)
     ranged = df.withColumn("_range", place)
     before, at = {}, 0
     for r in sorted(ranged.groupBy("_range").count().collect()) if bounds else []:  # 1000 rows at most
