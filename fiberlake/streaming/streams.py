@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fiberlake.errors import ParameterError
+
 
 def read(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
     """A stream of the files of a folder (or one file); timestamps carry a zone, as watermarks need."""
@@ -20,13 +24,32 @@ def read(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def folder_for(spark: SparkSession) -> str:
+    """A new folder in the one that the cluster shares (spark.checkpoint.dir); a local session may have one of its own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ParameterError("spark.checkpoint.dir names no folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="fiberlake-stream-")
+    return f"{shared}/stream-{uuid.uuid4().hex}"
+
+
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs the stream over all that is there and returns its result table."""
-    spark = stream.sparkSession
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Runs the stream over all that is there; its result is a table of files, which the driver never holds.
+
+    Every batch writes a folder of its own, over what an attempt before may have left; of a complete result the last
+    batch is the table, of an appended one all of them.
+    """
+    spark, folder, batches = stream.sparkSession, folder_for(stream.sparkSession), []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        batches.append(number)
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    paths = [f"{folder}/batch={n}" for n in (sorted(set(batches))[-1:] if mode == "complete" else sorted(set(batches)))]
+    return spark.read.schema(stream.schema).parquet(*paths) if paths else spark.createDataFrame([], stream.schema)
 
 
 def tumbling(spark: SparkSession, path: str, length: str = "1 day", slide: str | None = None, late: str = "1 day") -> DataFrame:
