@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -15,7 +17,7 @@ from fiberlake.llm.packing import best_fit_pack
 from fiberlake.llm.secrets import redact, secret_scan
 from fiberlake.llm.sentencepiece import Unigram
 from fiberlake.llm.simhash import components, fingerprint, linked, simhash_groups
-from fiberlake.llm.suffix_dedup import longest_previous_factors, suffix_dedup
+from fiberlake.llm.suffix_dedup import _anchors, longest_previous_factors, suffix_dedup
 from fiberlake.llm.toxicity import CharModel, toxicity
 from fiberlake.llm.vectors import exact_topk, nearest_neighbours
 
@@ -580,6 +582,40 @@ def test_suffix_dedup_of_rows_repeated_id_and_all(spark):
     assert got[2][1] >= 90 and passage not in got[2][2]
 
 
+def test_suffix_dedup_holds_little_of_a_batch_at_once():
+    """The arrays for a batch of texts, and those of a suffix array, as a Python worker's memory."""
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(97, 123, 40_000))) for _ in range(100)]
+    ids = pa.array(range(100), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array(texts)], names=["did", "rid", "text"])
+    data = rng.integers(0, 4, 1 << 18).astype(np.uint8)
+    tracemalloc.start()
+    found = sum(part.num_rows for part in _anchors(200, 100)(iter([batch])))
+    anchors = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    longest_previous_factors(data, np.full(len(data), len(data)), np.arange(len(data)), 200)
+    factors = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found > 50_000
+    assert anchors < 40 << 20 and factors < 56 << 20, (anchors >> 20, factors >> 20)
+
+
+def test_suffix_dedup_gets_texts_in_bounded_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    docs = spark.createDataFrame([(0, "x")], "doc_id long, text string")
+    try:
+        spark.conf.unset(key)
+        assert [r.text for r in suffix_dedup(docs, 40).collect()] == ["x"]
+        sizes = spark.range(0, 9000, 1, 1).selectExpr("repeat('x', 4000) AS text").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+        assert max(r.n for r in sizes) < 6 << 20 and sum(r.n for r in sizes) >= 36_000_000
+        spark.conf.set(key, "7m")
+        suffix_dedup(docs, 40)
+        assert spark.conf.get(key) == "7m"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def test_licenses_that_stand_twice_or_have_no_hint_word(spark):
     mit = TEMPLATES["MIT"]
     texts = ["x Released under the MIT License y Released under the MIT License z", "x " + mit + " y " + mit + " z", "it is released under the MIT terms", "nothing here"]
