@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,6 +175,22 @@ def merged_cells(chunks: DataFrame, sources: DataFrame, cells: DataFrame, dim: s
     return met.groupBy(*group, "chunk_min", "chunk_max", dim).agg(F.max_by("value", F.struct("starts", "patch_id")).alias("value"))
 
 
+def whole_patches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames in which the rows of a patch follow each other, cut anew so that no patch lies in two of them."""
+    held = []  # the last patch, which may go on in the next frame
+    for x in frames:
+        if x.empty:
+            continue
+        ids = x["patch_id"]
+        begins = len(x) - int((ids == ids.iloc[-1]).sum())  # where the frame's last patch begins
+        if begins or held and held[-1]["patch_id"].iloc[-1] != ids.iloc[0]:
+            yield pd.concat([*held, x.iloc[:begins]] if begins else held, ignore_index=True)
+            held = []
+        held.append(x.iloc[begins:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 @dataclass(frozen=True)
 class Spool:
     """A catalog of patches in an order, and perhaps their cells (patch_id, ..., value).  Everything is lazy."""
@@ -232,12 +250,21 @@ class Spool:
     def chunk(self, dim: str, group: list[str], **options) -> DataFrame:
         return chunk(self.catalog, dim, group, **options)
 
-    def map(self, function, schema: str) -> DataFrame:
-        """function(pandas frame of one patch's cells) -> pandas frame, for every patch."""
+    def map(self, function, schema: str, many: bool = False) -> DataFrame:
+        """function(pandas frame of one patch's cells) -> pandas frame, for every patch.
+
+        many: the function takes the cells of many patches at once, each patch whole and its rows together, and tells them
+        apart by patch_id.  That spares small patches a call each, which takes longer than their work.  Integers come as
+        floats where any of the frame is null.
+        """
         if self.cells is None:
             raise ParameterError("the spool has no cells")
         own = self.cells.join(self.catalog.select("patch_id"), "patch_id", "left_semi")  # patches without cells are left out
-        return own.groupBy("patch_id").applyInPandas(function, schema)
+        if not many:
+            return own.groupBy("patch_id").applyInPandas(function, schema)
+        # The count is dropped again: its window makes Spark bring a patch's rows to one task, together, whatever the join.
+        counted = own.withColumn("_own_rows", F.count("*").over(Window.partitionBy("patch_id")))
+        return counted.mapInPandas(lambda frames: (function(x) for x in whole_patches(f.drop(columns="_own_rows") for f in frames)), schema)
 
     def equals(self, other: Spool) -> bool:
         """The same catalog rows, as often, whatever the plans behind them."""

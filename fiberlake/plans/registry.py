@@ -292,7 +292,7 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("spool_select_cells", lambda s, d: spool.Spool(catalog(s, d), cells=_samples(s, d)).select(station="sta_1*", time=(_LOW, _HIGH)).cells.groupBy("patch_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")), "SELECT user_id || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) AS patch_id, count(*) AS n, round(sum(value), 2) AS total FROM events WHERE starts_with(user_id::VARCHAR, '1') AND epoch_us(ts) BETWEEN " + f"{_LOW} AND {_HIGH} GROUP BY 1")
-register("spool_map", lambda s, d: spool.Spool(catalog(s, d), cells=_samples(s, d)).map(lambda x: x.groupby("patch_id", as_index=False).agg(n=("value", "size"), most=("value", "max")).round(6), "patch_id string, n long, most double"), "SELECT user_id || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) AS patch_id, count(*) AS n, round(max(value), 6) AS most FROM events GROUP BY 1")
+register("spool_map", lambda s, d: spool.Spool(catalog(s, d), cells=_samples(s, d)).map(lambda x: x.groupby("patch_id", as_index=False).agg(n=("value", "size"), most=("value", "max")).round(6), "patch_id string, n long, most double", many=True), "SELECT user_id || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) AS patch_id, count(*) AS n, round(max(value), 6) AS most FROM events GROUP BY 1")
 register("merge_cells", lambda s, d: spool.merged_cells(spool.chunk(catalog(s, d), "time", ["station"], length=_DAY, keep_partial=True, tolerance=_TOL), catalog(s, d), _samples(s, d), "time", ["station"], _DAY).groupBy("station", "chunk_min").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")), f"WITH {_C}, {_ISLAND.format(tol=_DAY)}, k AS (" + _CUT.format(n=_DAY, stride=_DAY) + " WHERE s + 1000000 <= z), e AS (SELECT DISTINCT ON (user_id, ts) 'sta_' || user_id AS station, epoch_us(ts) AS t, value FROM events) SELECT k.station, k.time_min AS chunk_min, count(*) AS n, round(sum(value), 2) AS total FROM k JOIN e ON e.station = k.station AND t BETWEEN k.time_min AND k.time_max GROUP BY 1, 2")
 register("sampling_groups", lambda s, d: spool.sampling_groups(catalog(s, d).withColumn("time_step", F.length("station") * 1000 + F.length("tag") * 10), "time").select("patch_id", "sampling"), f"WITH {_C}, t AS (SELECT patch_id, length(station) * 1000 + length(tag) * 10 AS step FROM c), g AS (SELECT step, sum(j) OVER (ORDER BY step) AS sampling FROM (SELECT step, CASE WHEN (step - lag(step) OVER (ORDER BY step)) / lag(step) OVER (ORDER BY step) > 0.05 THEN 1 ELSE 0 END AS j FROM (SELECT DISTINCT step FROM t))) SELECT patch_id, CAST(sampling AS BIGINT) AS sampling FROM t JOIN g USING (step)")
 register("span_to_ns", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", times.span_to_ns(F.concat_ws(" ", (F.col("event_id") % 90 - 5).cast("string"), F.element_at(F.array(*map(F.lit, ("seconds", "minute", "milliseconds", "parsecs"))), (F.col("event_id") % 4 + 1).cast("int")))).alias("ns")), "SELECT event_id, CAST((event_id % 90 - 5) * CASE event_id % 4 WHEN 0 THEN 1000000000 WHEN 1 THEN 60000000000 WHEN 2 THEN 1000000 END AS BIGINT) AS ns FROM events")

@@ -115,6 +115,48 @@ def test_spool(spark, tmp_path):
         spool.combine_attrs(catalog, ["station"], ["tag"], "time_min", "raise")
 
 
+def test_whole_patches_are_cut_at_patches_only():
+    rows = pd.DataFrame({"patch_id": list("aabbbbbbbcdd"), "value": np.arange(12.0)})
+    for size in range(1, 14):
+        frames = [f for i in range(0, 12, size) for f in (rows.iloc[i : i + size], rows.iloc[:0])]
+        got = list(spool.whole_patches(iter(frames)))
+        assert pd.concat(got, ignore_index=True).equals(rows) and all(g.index[0] == 0 for g in got)
+        assert sum(g["patch_id"].nunique() for g in got) == 4
+    assert list(spool.whole_patches(iter([]))) == [] and list(spool.whole_patches(iter([rows.iloc[:0]]))) == []
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_many_patches_in_a_call(spark, threshold):
+    catalog = spark.range(200).where("id != 7").selectExpr("concat('p', id) AS patch_id")
+    cells = spark.range(3000).selectExpr("concat('p', id * id % 200) AS patch_id", "id AS time", "IF(id % 5 = 0, NULL, id / 7) AS value").repartition(5)
+    cells = cells.unionAll(cells.where("patch_id = 'p1'").withColumn("time", F.explode(F.sequence(F.lit(0), F.lit(9)))))  # longer than a batch
+    s = spool.Spool(catalog, cells=cells)
+
+    def summed(x):
+        patches = x["patch_id"].nunique()
+        return x.groupby("patch_id", as_index=False).agg(most=("value", "max"), n=("time", "size"), low=("time", "min")).assign(patches=patches)
+
+    schema = "patch_id string, n long, low long, most double, patches long"
+    conf = {"spark.sql.autoBroadcastJoinThreshold": threshold, "spark.sql.execution.arrow.maxRecordsPerBatch": "70"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        one, many = (s.map(summed, schema, **options).toPandas().sort_values("patch_id", ignore_index=True) for options in ({}, {"many": True}))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert many.drop(columns="patches").equals(one.drop(columns="patches")) and many["n"].max() > 140
+    assert set(one["patches"]) == {1} and many["patches"].max() > 1
+
+
+def test_spool_map_makes_no_call_for_each_patch(spark):
+    from fiberlake.plans.registry import QUERIES
+
+    plan = QUERIES["spool_map"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
+
+
 def test_spans_and_ranges_of_time(spark):
     df = spark.createDataFrame([("10 seconds", 0), ("-2 minute", 0), ("3 months", 0), ("x", 0), (None, 0)], "s string, i int")
     assert [r.n for r in df.select(times.span_to_ns("s").alias("n")).collect()] == [10**10, -120 * 10**9, None, None, None]
